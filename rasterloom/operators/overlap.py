@@ -28,7 +28,7 @@ def _boxed(df: DataFrame, prefix: str, bounds: tuple, cell: float) -> DataFrame:
 def _file(df: DataFrame, levels: Column, cell: float, tag: str) -> DataFrame:
     """Copy each rectangle to the cells it touches, on its own and every coarser lattice in use."""
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_k"))
-    spread = df.withColumn("_k", F.explode(F.filter(levels, lambda k: k >= F.col("_lv"))))
+    spread = df.withColumn("_k", F.explode(levels)).filter(F.col("_k") >= F.col("_lv"))
     for axis in "xy":
         lo, hi = F.floor(F.col(f"_{axis}0") / size), F.floor(F.col(f"_{axis}1") / size)
         spread = spread.withColumn(f"_c{axis}", F.explode(F.sequence(lo, hi)))
