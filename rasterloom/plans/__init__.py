@@ -1,4 +1,4 @@
 """Registered queries and their oracles."""
 
-from rasterloom.plans import scalars, spatial  # noqa: F401
+from rasterloom.plans import aggregates, assessment, scalars, spatial  # noqa: F401
 from rasterloom.plans.registry import ORACLES, QUERIES  # noqa: F401
