@@ -216,12 +216,12 @@ _STAT_SQL = {
 def _stat_query(name: str):
     key = f"stat_{name}"
 
-    @query(key, "obs", f"SELECT row, yr, {_STAT_SQL[name]} AS {key} FROM obs WHERE col < 25 OR b4 > 100 GROUP BY row, yr")
+    @query(key, "obs", f"SELECT row, col, yr, {_STAT_SQL[name]} AS {key} FROM obs GROUP BY row, col, yr")
     def run(spark, d):
         value = stat(name)(F.col("v"))
         if name != "count":
             value = F.round(F.nanvl(value, F.lit(None).cast("double")), 6)
-        return _gappy(spark, d).filter("col < 25 OR b4 > 100").groupBy("row", "yr").agg(value.alias(key))
+        return _gappy(spark, d).groupBy("row", "col", "yr").agg(value.alias(key))
 
     return run
 
@@ -254,13 +254,13 @@ def stat_pct_equal(spark, d):
 
 
 @query("stat_all_equal_center", "dem obs", """
-SELECT o.row, o.col, CAST(coalesce(bool_and(o.b3 = q.cls % 9) FILTER (o.b2 <> 0), true) AS INT) AS same
-FROM obs o JOIN dem q ON q.row = o.row AND q.col = o.col WHERE o.b1 > 45 GROUP BY o.row, o.col""")
+SELECT o.row, o.col, o.yr, CAST(coalesce(bool_and(o.b3 = q.cls % 9) FILTER (o.b2 <> 0), true) AS INT) AS same
+FROM obs o JOIN dem q ON q.row = o.row AND q.col = o.col GROUP BY o.row, o.col, o.yr""")
 def stat_all_equal_center(spark, d):
     centre = fx.dem(spark, d).select("row", "col", (F.col("cls") % 9).cast("double").alias("centre"))
-    o = fx.obs(spark, d).filter("b1 > 45")
+    o = fx.obs(spark, d)
     v = F.when(F.col("b2") == 0, F.lit(float("nan"))).otherwise(F.col("b3").cast("double"))
-    return o.join(centre, PX).groupBy(*PX).agg(all_equal(v, F.col("centre")).alias("same"))
+    return o.join(centre, PX).groupBy(*PX, "yr").agg(all_equal(v, F.col("centre")).alias("same"))
 
 
 @query("stat_lc_proportion", "obs", "SELECT row, yr, round(100e0 * count(*) FILTER (b3 = 1) / count(*), 6) AS pct FROM obs GROUP BY row, yr")

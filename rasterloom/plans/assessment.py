@@ -81,13 +81,13 @@ def threshold_sweep(spark, d):
     return _rounded(ac.threshold_sweep(fx.probs(spark, d), "truth", "prob100"), "threshold")
 
 
+_BY_M = _REPORT.format(by="model,", fby="f.model,", join="JOIN a ON a.model = f.model")
+
+
 @query("concat_reports", "pairs probs", f"""
-counts AS (SELECT truth, pred, count(*) AS n FROM pairs GROUP BY truth, pred), {_FLAT},
-{_FLAT.replace('counts', 'c2').replace('sides', 's2').replace('cls', 'k2').replace('pr AS', 'p2 AS').replace('FROM pr)', 'FROM p2)')
-  .replace('f AS (', 'f2 AS (').replace('FROM f ', 'FROM f2 ').replace('a AS (', 'a2 AS (').replace(', a' + chr(10), ', a2' + chr(10))
-  .replace('FROM a ', 'FROM a2 ').replace('FROM a)', 'FROM a2)').replace('rep AS', 'r2 AS')
-  .replace('s2 AS (', "c2 AS (SELECT truth, CASE WHEN prob100 >= 50 THEN 1 ELSE 0 END AS pred, count(*) AS n FROM probs GROUP BY ALL), s2 AS (", 1)}
-SELECT 'pairs' AS model, stat, {_OUT} UNION ALL SELECT 'probs', stat, {_OUT.replace('FROM rep', 'FROM r2')}""")
+counts AS (SELECT 'pairs' AS model, truth, pred, count(*) AS n FROM pairs GROUP BY ALL
+  UNION ALL SELECT 'probs', truth, CASE WHEN prob100 >= 50 THEN 1 ELSE 0 END, count(*) FROM probs GROUP BY ALL), {_BY_M}
+SELECT model, stat, {_OUT}""")
 def concat_reports(spark, d):
     by_model = {
         "pairs": fx.pairs(spark, d),

@@ -402,9 +402,9 @@ def extent(spark, d):
 
 
 @query("empty_tiles", "dem sets", f"""{CENTRE}
-SELECT t.set_id FROM sets t WHERE NOT EXISTS (SELECT 1 FROM px s WHERE s.cls > 48 AND s.row < 20 AND {HALF})""")
+SELECT t.set_id FROM sets t WHERE NOT EXISTS (SELECT 1 FROM px s WHERE s.cls = 50 AND s.v < 930 AND {HALF})""")
 def empty_tiles(spark, d):
-    mask = fx.dem(spark, d).filter("cls > 48 AND row < 20").select("row", "col")
+    mask = fx.dem(spark, d).filter("cls = 50 AND v < 930").select("row", "col")
     full = j.zone_burn(mask, fx.sets(spark, d).select("set_id", "ul_x", "ul_y", "lr_x", "lr_y"), TX, SET)
     return fx.sets(spark, d).select("set_id").join(full.select(F.col("b_set_id").alias("set_id")), "set_id", "left_anti")
 
