@@ -30,8 +30,9 @@ def _block_labels(pdf: pd.DataFrame) -> pd.DataFrame:
     while True:
         before = label.copy()
         for a, b, same in ((label[1:], label[:-1], same_down), (label[:, 1:], label[:, :-1], same_right)):
-            low = np.minimum(a, b)
-            a[same], b[same] = low[same], low[same]
+            # Both sides view the same array, so the second minimum must see the first one's result.
+            a[same] = np.minimum(a, b)[same]
+            b[same] = np.minimum(a, b)[same]
         if np.array_equal(before, label):
             break
     return pd.DataFrame({"row": r, "col": c, "v": pdf["v"], "label": label[r - r0, c - c0]})
