@@ -23,8 +23,12 @@ def _pixel(key: str) -> list:
 
 
 def obs(spark, sf_dir) -> DataFrame:
+    return as_obs(table(spark, sf_dir, "lineitem"))
+
+
+def as_obs(items: DataFrame) -> DataFrame:
     """Image observations: one row per line item, pixel = part (50 columns)."""
-    return table(spark, sf_dir, "lineitem").select(
+    return items.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("obs_id"),
         *_pixel("l_partkey"),
         F.when(F.col("l_returnflag") == "R", "LC08")
