@@ -17,27 +17,47 @@ def simple_stats(preds: DataFrame, value: str = "pred") -> dict[str, Column]:
         "median": F.bround(F.median(v)).cast("int"),
         "stdv": F.bround(exact_stdv(v)).cast("int"),
         "count": F.count(F.lit(1)),
-        "vote": F.mode(v, True),
     }
 
 
-def votes(preds: DataFrame, value: str = "pred") -> DataFrame:
-    """Winning class (smallest on ties), its share in percent and the number of votes per pixel.
+def class_counts(preds: DataFrame, value: str = "pred") -> DataFrame:
+    """Members per pixel and class (NULL for members without data), at most one row per class."""
+    return preds.groupBy(*PIXEL, F.col(value).cast("int").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _top_class() -> tuple[Column, Column]:
+    """Most frequent class (smallest on ties) and its count, as one maximum over a packed long.
 
-    Votes are counted per pixel and class first, so the second grouping sees at most one row per class.
+    A maximum of structs would force a sort-based aggregation; a long keeps it in the hash aggregate. Counts per
+    pixel and class stay below 2^31.
     """
-    per_class = preds.filter(F.col(value).isNotNull()).groupBy(*PIXEL, value).agg(F.count(F.lit(1)).alias("_n"))
-    top = F.max(F.struct(F.col("_n").alias("n"), (-F.col(value)).alias("v")))
-    out = per_class.groupBy(*PIXEL).agg(top.alias("_top"), F.sum("_n").alias("count"))
-    pct = F.bround(100 * F.col("_top.n") / F.col("count")).cast("int")
-    return out.select(*PIXEL, (-F.col("_top.v")).alias("vote"), pct.alias("pct_vote"), "count")
+    low = F.lit((1 << 31) - 1)
+    packed = F.max(F.when(F.col("v").isNotNull(), F.shiftleft(F.col("n"), 32) + (low - F.col("v"))))
+    return (low - packed.bitwiseAND((1 << 32) - 1)).cast("int"), F.shiftright(packed, 32)
+
+
+def votes(preds: DataFrame, value: str = "pred") -> DataFrame:
+    """Winning class (smallest on ties), its share in percent and the number of votes per pixel."""
+    vote, n = _top_class()
+    total = F.sum(F.when(F.col("v").isNotNull(), F.col("n")))
+    out = class_counts(preds, value).groupBy(*PIXEL).agg(vote.alias("vote"), F.bround(100 * n / total).cast("int").alias("pct_vote"), total.alias("count"))
+    return out.filter("vote IS NOT NULL")
 
 
 def aggregate_stored(preds: DataFrame, value: str, nodata: int = -9999) -> DataFrame:
-    """Statistics of stored predictions: NULL-aware, truncated to integers, nodata where no member has data."""
-    v = F.col(value)
-    stats = {"mean": F.avg(v), "stdv": exact_stdv(v), "count": F.when(F.count(v) > 0, F.count(v)), "vote": F.mode(v, True)}
-    out = preds.groupBy(*PIXEL).agg(*[c.alias(k) for k, c in stats.items()])
+    """Statistics of stored class predictions: NULL-aware, truncated to integers, nodata where no member has data.
+
+    All of them follow from the class counts, so one small intermediate table serves every statistic.
+    """
+    v, n = F.col("v").cast("long"), F.when(F.col("v").isNotNull(), F.col("n"))
+    count, s, q = F.sum(n), F.sum(n * v), F.sum(n * v * v)
+    stats = {
+        "mean": F.try_divide(s, count),
+        "stdv": F.try_divide(F.sqrt((count * q - s * s).cast("double")), count.cast("double")),
+        "count": count,
+        "vote": _top_class()[0],
+    }
+    out = class_counts(preds, value).groupBy(*PIXEL).agg(*[c.alias(k) for k, c in stats.items()])
     return out.select(*PIXEL, *[F.coalesce(F.col(k).cast("int"), F.lit(nodata)).alias(k) for k in stats])
 
 

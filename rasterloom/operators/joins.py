@@ -8,6 +8,7 @@ from rasterloom.functions.grid import Affine
 from rasterloom.operators.overlap import boxes_overlap, point_in_ring, points_in_boxes, overlap_join
 from rasterloom.operators.ranking import id_rank
 from rasterloom.operators.skew import salted_join
+from rasterloom.session import materialize
 
 # Row-major neighbour directions, numbered 1..9.
 KERNEL = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
@@ -41,7 +42,11 @@ def set_members(points: DataFrame, sets: DataFrame, cell: float) -> DataFrame:
 
 
 def kept_members(members: DataFrame, min_obs: int, share: float = 0.63) -> DataFrame:
-    """Members of the sets whose bag, ``int(share * n)``, reaches ``min_obs``; adds ``n`` and ``n_samples``."""
+    """Members of the sets whose bag, ``int(share * n)``, reaches ``min_obs``; adds ``n`` and ``n_samples``.
+
+    Counting and filtering both read the members, so the range join behind them runs once and is written.
+    """
+    members = materialize(members, "members")
     sizes = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("n_samples", F.floor(F.col("n") * F.lit(share)).cast("int"))
     return salted_join(members, sizes.filter(F.col("n_samples") >= min_obs), ["set_id"], "n")

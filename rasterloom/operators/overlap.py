@@ -53,8 +53,11 @@ def overlap_join(
     """
     l_own = _boxed(left, prefixes[0], left_bounds, cell)
     r_own = _boxed(right, prefixes[1], right_bounds, cell)
-    # At most about 60 lattice sizes exist between a cell and any double, so the set is tiny.
-    levels = l_own.select("_lv").union(r_own.select("_lv")).agg(F.sort_array(F.collect_set("_lv"))).scalar()
+    # Points are on the finest lattice by definition: only rectangles are measured.
+    sized = [own.select("_lv") for own, b in ((l_own, left_bounds), (r_own, right_bounds)) if b[0] != b[1] or b[2] != b[3]]
+    both_sides = sized[0] if len(sized) == 1 else sized[0].union(sized[1])
+    # At most about 1100 lattice sizes fit between a cell and the largest double, in practice a handful.
+    levels = both_sides.agg(F.sort_array(F.collect_set("_lv"))).scalar()
     a, b = _file(l_own, levels, cell, "a"), _file(r_own, levels, cell, "b")
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_k"))
     lo_x, lo_y = F.greatest("_ax0", "_bx0"), F.greatest("_ay0", "_by0")

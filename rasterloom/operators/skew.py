@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rasterloom.session import materialize
+
 ROWS_PER_TASK = 1_000_000
 MAX_HOT_KEYS = 1000
 
@@ -17,7 +19,10 @@ def salted_join(
     ``rows_per_task`` and one part in ``MAX_HOT_KEYS`` of the total is hot: its big-side rows spread over
     several salts and its small-side row is repeated once per salt. By that threshold there are at
     most ``MAX_HOT_KEYS`` hot keys, so sending their salt counts to every task is bounded by construction.
+
+    ``small`` is read three times, so it is written once first; finding hot keys is then a pushed filter.
     """
+    small = materialize(small, "per-key")
     total = small.agg(F.sum(count_col)).scalar()
     floor = F.greatest(F.lit(rows_per_task), F.ceil(total / F.lit(MAX_HOT_KEYS)))
     hot = small.filter(F.col(count_col) > floor).select(

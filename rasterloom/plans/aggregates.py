@@ -51,8 +51,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, pred)
 
 @query("ens_vote", "predictions", f"{_VOTES} SELECT row, col, pred AS vote FROM r WHERE k = 1")
 def ens_vote(spark, d):
-    p = fx.predictions(spark, d)
-    return p.groupBy(*PX).agg(en.simple_stats(p)["vote"].alias("vote"))
+    return en.votes(fx.predictions(spark, d)).select(*PX, "vote")
 
 
 @query("ens_pct_vote", "predictions", f"""{_VOTES}
@@ -106,7 +105,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, best)
 SELECT row, col, best AS importance FROM r WHERE k = 1""")
 def importance_map(spark, d):
     hit = cover(spark, d, ("set_id", *_IMP)).select(*PX, en.argmax_index(_IMP).alias("best"))
-    return hit.groupBy(*PX).agg(stat("mode")(F.col("best")).alias("importance"))
+    return en.votes(hit, "best").select(*PX, F.col("vote").alias("importance"))
 
 
 @query("importance_summary", "sets", """

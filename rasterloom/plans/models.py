@@ -8,7 +8,7 @@ from rasterloom import fixtures as fx
 from rasterloom.operators import accuracy as ac, ensemble as en, forests as fo, joins as j, sampling as sa, trees as tr
 from rasterloom.plans.registry import query
 from rasterloom.plans.spatial import MEMBERS, SET
-from rasterloom.session import scratch_path
+from rasterloom.session import materialize, scratch_path
 
 FEATURES = ["zone", "seg", "col", "bucket"]
 MIN_OBS, DEPTH = 130, 3
@@ -29,7 +29,8 @@ def bags(spark, d):
     """(set_id, obs_pt, in_bag, predictors, target) of every kept support set."""
     s = predictors(spark, d)
     kept = j.kept_members(j.set_members(s, fx.sets(spark, d), SET), MIN_OBS).select("set_id", "obs_pt")
-    return sa.bootstrap(kept, "bag").join(s.drop("x", "y"), "obs_pt")
+    # Training and out-of-bag scoring both read the bags.
+    return materialize(sa.bootstrap(kept, "bag").join(s.drop("x", "y"), "obs_pt"), "bags")
 
 
 # Oracle for depth one: every threshold of every feature scored per set.

@@ -10,6 +10,7 @@ from rasterloom.operators import grids, joins as j
 from rasterloom.operators.overlap import boxes_overlap, points_in_boxes
 from rasterloom.operators.ranking import id_rank, ordered_rank
 from rasterloom.plans.registry import query
+from rasterloom.session import materialize
 from rasterloom.plans.scalars import TX, _SCENE_SQL, _scenes
 
 TILE, SET = 300.0, 450.0
@@ -241,7 +242,7 @@ firsts AS (SELECT combo, min(row * 100000 + col) AS f FROM stack GROUP BY combo)
 SELECT s.row, s.col, n_sets, (SELECT count(*) FROM firsts o WHERE o.f < x.f) AS combo_id
 FROM stack s JOIN firsts x ON x.combo = s.combo""")
 def unique_combos(spark, d):
-    prints = j.set_combination(cover(spark, d))
+    prints = materialize(j.set_combination(cover(spark, d)), "combos")
     key = ["n_sets", "_f0", "_f1", "_f2"]
     firsts = prints.groupBy(*key).agg(F.min(F.struct("row", "col")).alias("first"))
     firsts = firsts.select(*key, F.col("first.row").alias("fr"), F.col("first.col").alias("fc"))
