@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rasterloom.functions.spectral import BANDS
-from rasterloom.operators.skew import salted_join
+from rasterloom.operators.skew import ROWS_PER_TASK, salted, split_hot
 
 KEYS = ["row", "col", "yr"]
 
@@ -18,23 +18,35 @@ def season(obs: DataFrame, sensors: list[str], year: int | None, start: tuple[in
     return obs.filter(keep if year is None else keep & (F.col("yr") == year))
 
 
-def medoid(obs: DataFrame, bands: list[str] = BANDS, ties: list[str] = ("ts",)) -> DataFrame:
-    """The observation closest to the per-band medians of its pixel and year.
-
-    Medians and the final pick are aggregates with map-side combine. The join between them is salted,
-    so a pixel observed far more often than others does not land in one task. Ties go to the smallest
-    (ties, bands) tuple.
-    """
-    mids = obs.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("_obs"), *[F.median(b).alias(f"_m_{b}") for b in bands]
-    )
-    near = salted_join(obs.select(*KEYS, *ties, *bands), mids, KEYS, "_obs")
+def _distance(bands: list[str], centre: dict[str, Column]) -> Column:
     dist = F.lit(0.0)
     for b in bands:
-        d = F.col(b) - F.col(f"_m_{b}")
+        d = F.col(b) - centre[b]
         dist = dist + d * d
+    return dist
+
+
+def _closest(df: DataFrame, dist: Column, bands: list[str], ties: list[str]) -> DataFrame:
     best = F.min_by(F.struct(*bands), F.struct(dist.alias("d"), *ties, *bands))
-    return near.groupBy(*KEYS).agg(best.alias("_best")).select(*KEYS, *[F.col(f"_best.{b}").alias(b) for b in bands])
+    return df.groupBy(*KEYS).agg(best.alias("_best")).select(*KEYS, *[F.col(f"_best.{b}").alias(b) for b in bands])
+
+
+def medoid(obs: DataFrame, bands: list[str] = BANDS, ties: list[str] = ("ts",), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The observation closest to the per-band medians of its pixel and year; ties go to the smallest (ties, bands).
+
+    Ordinary pixels: one shuffle brings a pixel-year together, and medians, distances and the pick all use that
+    partitioning. A pixel-year observed so often that it would swamp a task goes another way: its medians are a map-side
+    combined aggregate and its observations are spread over salts to meet them.
+    """
+    obs = obs.select(*KEYS, *ties, *bands)
+    usual, hot = split_hot(obs, KEYS, rows_per_task)
+    group = W.partitionBy(*KEYS)
+    near = usual.withColumns({f"_m_{b}": F.median(b).over(group) for b in bands})
+    picked = _closest(near, _distance(bands, {b: F.col(f"_m_{b}") for b in bands}), bands, ties)
+
+    mids = hot.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_obs"), *[F.median(b).alias(f"_m_{b}") for b in bands])
+    spread = salted(hot, mids, KEYS, "_obs", rows_per_task)
+    return picked.unionByName(_closest(spread, _distance(bands, {b: F.col(f"_m_{b}") for b in bands}), bands, ties))
 
 
 def target_day(obs: DataFrame, day: int, bands: list[str] = BANDS, ties: list[str] = ("ts",)) -> DataFrame:
@@ -55,8 +67,6 @@ def fit_between_vertices(series: DataFrame, value: str, is_vertex: str) -> DataF
 
     Windows run over one pixel's annual series, which the compositing step bounds to one row per year.
     """
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("row", "col").orderBy("yr")
     back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
     mark = F.when(F.col(is_vertex), F.struct(F.col("yr").alias("y"), F.col(value).cast("double").alias("v")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterloom.session import materialize
 
@@ -25,17 +25,40 @@ def salted_join(
     small = materialize(small, "per-key")
     total = small.agg(F.sum(count_col)).scalar()
     floor = F.greatest(F.lit(rows_per_task), F.ceil(total / F.lit(MAX_HOT_KEYS)))
-    hot = small.filter(F.col(count_col) > floor).select(
-        *keys, F.ceil(F.col(count_col) / F.lit(rows_per_task)).cast("int").alias("_salts")
-    )
+    hot = small.filter(F.col(count_col) > floor).select(*keys, _salts(count_col, rows_per_task))
     hot = F.broadcast(hot)
+    return _meet(big.join(hot, keys, "left"), small.join(hot, keys, "left"), keys)
+
+
+def salted(big: DataFrame, small: DataFrame, keys: list[str], count_col: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``salted_join`` where every key is already known to be hot (see ``split_hot``), so the key list is bounded."""
+    salts = F.broadcast(small.select(*keys, _salts(count_col, rows_per_task)))
+    return _meet(big.join(salts, keys), small.withColumn("_salts", _salts(count_col, rows_per_task)), keys)
+
+
+def _salts(count_col: str, rows_per_task: int) -> Column:
+    return F.ceil(F.col(count_col) / F.lit(rows_per_task)).cast("int").alias("_salts")
+
+
+def _meet(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     # Row content and input partition decide the salt: stable when a lost task runs again, and copies of
     # one row still spread.
-    draw = F.xxhash64(*[F.col(c) for c in big.columns], F.spark_partition_id())
-    spread = big.withColumn("_draw", draw).join(hot, keys, "left")
-    spread = spread.withColumn("_salt", F.coalesce(F.pmod("_draw", F.col("_salts")), F.lit(0)).cast("int"))
-    copies = small.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    )
-    joined = spread.drop("_salts", "_draw").join(copies.drop("_salts"), [*keys, "_salt"])
-    return joined.drop("_salt")
+    content = [F.col(c) for c in big.columns if c != "_salts"]
+    draw = F.pmod(F.xxhash64(*content, F.spark_partition_id()), F.col("_salts"))
+    spread = big.withColumn("_salt", F.coalesce(draw, F.lit(0)).cast("int")).drop("_salts")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    return spread.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def split_hot(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary keys, rows of hot keys), by the same threshold as ``salted_join``.
+
+    Ordinary groups then fit a task and may be handled as a whole; hot ones must be aggregated with map-side combine.
+    Only the hot keys, at most ``MAX_HOT_KEYS`` of them, travel to every task. Without any, the second frame is
+    empty at run time and its branch is dropped.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    floor = F.greatest(F.lit(rows_per_task), F.ceil(total / F.lit(MAX_HOT_KEYS)))
+    hot = F.broadcast(counts.filter(F.col("_n") > floor).select(*keys))
+    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
