@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
 def hash_key(seed: str, *key: Column | str) -> Column:
     """md5 of ``seed|key|...``: the reproducible random order every sampler uses."""
     cols = [F.col(k) if isinstance(k, str) else k for k in key]
@@ -37,12 +40,18 @@ def ordered_rank(
 
 
 def hash_rank(
-    df: DataFrame, seed: str, key: list[str], by: list[str] = (), rank: str = "rk", total: str | None = None, digits: int = 2
+    df: DataFrame, seed: str, key: list[str], by: list[str] = (), rank: str = "rk", total: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Rank in hash order; buckets are the leading hex digits, so they are even whatever the keys."""
+    """Rank in hash order.
+
+    Buckets are leading hex digits of the hash, even whatever the keys. Their number follows the table's size, so that
+    a bucket stays near ``rows_per_bucket`` rows even if a single group holds the whole table.
+    """
     h = F.col("_h")
+    size = df.agg(F.count(F.lit(1)).cast("double")).scalar()
+    digits = F.greatest(F.lit(1), F.ceil(F.log(16.0, F.greatest(size / F.lit(rows_per_bucket), F.lit(1.0))))).cast("int")
     tagged = df.withColumn("_h", hash_key(seed, *key))
-    ranked = ordered_rank(tagged, F.substring(h, 1, digits), [h, *[F.col(k) for k in key]], by, rank, total)
+    ranked = ordered_rank(tagged, F.substring(h, F.lit(1), digits), [h, *[F.col(k) for k in key]], by, rank, total)
     return ranked.drop("_h")
 
 
@@ -53,9 +62,9 @@ def id_rank(
     return ordered_rank(df, F.floor(F.col(key) / F.lit(width)), [F.col(key)], by, rank, total)
 
 
-def hash_sample(df: DataFrame, seed: str, key: list[str], n: int | Column, by: list[str] = (), digits: int = 2) -> DataFrame:
+def hash_sample(df: DataFrame, seed: str, key: list[str], n: int | Column, by: list[str] = ()) -> DataFrame:
     """The first ``n`` rows per group in hash order; ``n`` may use ``_size``, the group's row count."""
-    ranked = hash_rank(df, seed, key, by, "_rk", "_size", digits)
+    ranked = hash_rank(df, seed, key, by, "_rk", "_size")
     limit = n if isinstance(n, Column) else F.lit(n)
     return ranked.filter(F.col("_rk") <= limit).drop("_rk", "_size")
 

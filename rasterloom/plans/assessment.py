@@ -46,10 +46,11 @@ def classification_report(spark, d):
 counts AS (SELECT CAST(floor(b1 / 11) AS BIGINT) AS truth, CAST(floor(b5 / 21) AS BIGINT) AS pred, count(*) AS n FROM obs GROUP BY ALL),
 t AS (SELECT truth AS label, sum(n) AS actual, sum(n) FILTER (truth = pred) AS tp FROM counts GROUP BY truth),
 p AS (SELECT pred AS label, sum(n) AS predicted FROM counts GROUP BY pred),
-b AS (SELECT t.label, coalesce(tp, 0) AS tp, actual, predicted FROM t JOIN p ON p.label = t.label),
+b AS (SELECT coalesce(t.label, p.label) AS label, coalesce(tp, 0) AS tp, coalesce(actual, 0) AS actual, coalesce(predicted, 0) AS predicted
+  FROM t FULL OUTER JOIN p ON p.label = t.label),
 o AS (SELECT CAST(sum(tp) AS DOUBLE) / sum(actual) AS po, CAST(sum(actual * predicted) AS DOUBLE) / (CAST(sum(actual) AS DOUBLE) * sum(actual)) AS pe FROM b)
 SELECT label, CAST(tp AS BIGINT) AS tp, CAST(actual AS BIGINT) AS actual, CAST(predicted AS BIGINT) AS predicted,
-  round(CAST(tp AS DOUBLE) / predicted, 6) AS users, round(CAST(tp AS DOUBLE) / actual, 6) AS producers,
+  round(CAST(tp AS DOUBLE) / nullif(predicted, 0), 6) AS users, round(CAST(tp AS DOUBLE) / nullif(actual, 0), 6) AS producers,
   round(po, 6) AS overall, round((po - pe) / (1 - pe), 6) AS kappa FROM b, o""")
 def kappa_users_producers(spark, d):
     o = fx.obs(spark, d).select(F.floor(F.col("b1") / 11).alias("truth"), F.floor(F.col("b5") / 21).alias("pred"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -20,9 +21,11 @@ def _skewed(n=600):
     return [(i, "hot" if r.random() < 0.6 else r.choice("abc")) for i in range(n)]
 
 
-def test_hash_rank(spark):
+@pytest.mark.parametrize("per_bucket", [1_000_000, 100, 3])
+def test_hash_rank(spark, per_bucket):
     data = _skewed()
-    got = dict(rows(rk.hash_rank(spark.createDataFrame(data, "id long, g string"), "s", ["id"], ["g"]), "id", "rk"))
+    ranked = rk.hash_rank(spark.createDataFrame(data, "id long, g string"), "s", ["id"], ["g"], rows_per_bucket=per_bucket)
+    got = dict(rows(ranked, "id", "rk"))
     want = {}
     for g in {g for _, g in data}:
         for k, i in enumerate(sorted((i for i, x in data if x == g), key=lambda i: (_h("s", i), i)), 1):
