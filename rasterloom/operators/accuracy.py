@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterloom.operators.ranking import running_sums
+from rasterloom.session import materialize
 
 
 def pair_counts(df: DataFrame, truth: str = "truth", pred: str = "pred", by: list[str] = ()) -> DataFrame:
@@ -152,8 +153,10 @@ def rmse_split(truth: Column, pred: Column, compat: bool = False) -> dict[str, C
 
 
 def _score_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """Positives and negatives per distinct score, written once: totals and running sums both read them."""
     pos = F.count_if(F.col(truth) == 1)
-    return df.groupBy(F.col(score).alias("score")).agg(pos.alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
+    counts = df.groupBy(F.col(score).alias("score")).agg(pos.alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
+    return materialize(counts, "scores")
 
 
 def roc_auc(df: DataFrame, truth: str, score: str, bucket_width: float = 1.0) -> DataFrame:
