@@ -101,12 +101,13 @@ def boxes_overlap(left: DataFrame, right: DataFrame, cell: float, touching: bool
     return overlap_join(left, right, bounds, bounds, rule, cell)
 
 
-def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Vertex or exact boundary hit, else crossing parity; ``ring`` is an open array of (x, y) structs."""
-    n = F.size(ring)
-    edges = F.transform(
-        ring, lambda p, i: F.struct(p.alias("a"), F.element_at(ring, (i + 1) % n + 1).alias("b"))
-    )
+def ring_edges(ring: Column) -> Column:
+    """Edges of a ring given as an open array of (x, y) structs; the last vertex joins the first."""
+    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.element_at(ring, (i + 1) % F.size(ring) + 1).alias("b")))
+
+
+def point_in_ring(x: Column, y: Column, edges: Column) -> Column:
+    """Vertex or exact boundary hit, else crossing parity, over a ring's edges."""
 
     def dist(p: Column, q_x: Column, q_y: Column) -> Column:
         return F.sqrt((p["y"] - q_y) * (p["y"] - q_y) + (p["x"] - q_x) * (p["x"] - q_x))
