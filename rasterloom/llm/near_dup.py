@@ -8,9 +8,10 @@ Pairs that meet, and whose 256 one-bit minima do not rule it out, are aligned wo
 grows until the edit distance fits. Their similarity is the number of five-word windows inside matched runs over all
 windows of both texts; 0.8 or more is a link. A class is a connected set of links.
 
-A table's bucket of at most ``SMALL`` texts is compared in full. In a larger one a few leaders, four times as many each
-round, are compared with all members of other classes, until all members that never led are in one class: then no
-pair is left. So a group of thousands of like texts costs a few comparisons each, and no partner is capped.
+First each text is compared with one leader of its bucket in ``STARS`` tables, which joins most groups. Then only texts of different
+classes meet: in a bucket of at most ``SMALL`` texts all of them, in a larger one a few leaders, four times as many
+each round, with all members of other classes, until all members that never led are in one class: then no pair is left. So
+a group of thousands of like texts costs a few comparisons each, and no partner is capped.
 
 Texts without words (null, empty) are a class of their own each. Texts under five words link only to equal ones.
 """
@@ -35,6 +36,10 @@ TABLES = 32
 TUPLE = 5
 SIMILARITY = 0.8
 SMALL = 256
+STARS = 8
+PAIRS_PER_TASK = 2000
+#: Texts of this many windows must share two tables (at a similarity of 0.8 all but one pair in 20,000 do).
+TWICE = 40
 BITS = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -233,6 +238,8 @@ def _may_link(x: str, y: str) -> Column:
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
+    # an alignment is dear and a pair is small: tasks are sized by pairs, not bytes
+    pairs = pairs.repartition(max(1, pairs.count() // PAIRS_PER_TASK), "a", "b")
     first, second = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
     return materialize(joined.mapInArrow(_verify, "a bigint, b bigint"), "links")
@@ -259,23 +266,41 @@ def classes(df: DataFrame, id_col: str = "doc_id", column: str = "text") -> Data
 def link_texts(sketch: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, label) of linked texts and the links (a, b) found, for sketches of distinct texts and their rows (id, text)."""
     sketch = materialize(sketch, "distinct-sketch")
-    keyed = sketch.select("id", F.posexplode("keys").alias("t", "key")).select("id", F.xxhash64("t", "key").alias("bucket"))
-    size = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    keyed = sketch.select("id", F.posexplode("keys").alias("t", "key")).select("id", "t", F.xxhash64("t", "key").alias("bucket"))
+    lead = F.min_by("id", F.xxhash64("id", "bucket")).alias("lead")
+    size = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), lead).filter("m > 1")
     met = materialize(keyed.join(size, "bucket"), "buckets")
     # only texts that meet another one are moved, once
     texts = materialize(rows.join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
     bits = sketch.drop("keys")
-    small = materialize(met.filter(F.col("m") <= SMALL).select("bucket", "id").join(bits, "id"), "small")
-    pair = F.col("x.id").alias("a"), F.col("y.id").alias("b")
-    near = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & _may_link("x", "y"))
-    links = _links(materialize(near.select(*pair).distinct(), "pairs"), texts)
+    star = met.filter((F.col("t") < STARS) & (F.col("id") != F.col("lead"))).select("id", "lead").distinct()
+    star = star.join(bits.alias("x"), F.col("lead") == F.col("x.id")).join(bits.alias("y"), star["id"] == F.col("y.id")).filter(_may_link("x", "y"))
+    pair = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+    links = _links(materialize(star.select(*pair).distinct(), "pairs"), texts)
     labels = components(links)
-    large = met.filter(F.col("m") > SMALL)
+    small = met.filter(F.col("m") <= SMALL).select("bucket", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # a bucket of one class has no pair left
+    mixed = small.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("bucket")
+    small = materialize(small.join(mixed, "bucket", "left_semi").join(bits, "id"), "small")
+    differ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
+    near = small.alias("x").join(small.alias("y"), differ & _may_link("x", "y")).select(*pair, F.least("x.n", "y.n").alias("n"))
+    near = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tables"), F.first("n").alias("n")).filter(F.col("tables") >= F.when(F.col("n") >= TWICE, 2).otherwise(1))
+    found = _links(materialize(near.select("a", "b"), "pairs"), texts)
+    labels, links = _joined(labels, links, found)
+    large = met.filter(F.col("m") > SMALL).select("bucket", "id", "m")
     if large.limit(1).count():
         labels, links = _settle(materialize(large.join(bits, "id"), "large"), texts, labels, links)
     return labels, links
 
 
+def _joined(labels: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels and links with new links: a class so far counts as a star, its links need no second look."""
+    if not found.limit(1).count():
+        return labels, links
+    stars = labels.filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+    return components(stars.union(found)), links.union(found)
+
+
 def _settle(large: DataFrame, texts: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Compares the members of large buckets by rounds of leaders; see the head of this module."""
     draw = (F.shiftrightunsigned(F.xxhash64("bucket", "id", F.lit("lead")), 11) / F.lit(float(1 << 53))) * F.col("m")
@@ -293,8 +318,7 @@ def _settle(large: DataFrame, texts: DataFrame, labels: DataFrame, links: DataFr
         pairs = lead.alias("x").join(now.alias("y"), met & _may_link("x", "y"))
         pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         found = _links(materialize(pairs, "pairs"), texts)
-        links = materialize(links.union(found).distinct(), "links")
-        labels = components(links)
+        labels, links = _joined(labels, links, found)
         large, low, high = now.drop("label"), high, high * 4
 
 
