@@ -8,10 +8,15 @@ from pyspark.sql import Column, functions as F
 
 
 def exact_stdv(v: Column) -> Column:
-    """Population standard deviation of integers from exact sums, so that ties round the same everywhere."""
-    x = v.cast("long")
-    n, s, q = F.count(x), F.sum(x), F.sum(x * x)
-    return F.try_divide(F.sqrt((n * q - s * s).cast("double")), n.cast("double"))
+    """Population standard deviation; whole numbers use exact sums, so that ties round the same everywhere.
+
+    Fractions, and groups whose sums pass a long, take the floating form.
+    """
+    x = v.try_cast("long")
+    n, s, q = F.count(x), F.try_sum(x), F.try_sum(F.try_multiply(x, x))
+    spread = F.try_subtract(F.try_multiply(n, q), F.try_multiply(s, s)).cast("double")
+    whole = F.bool_and(x.isNotNull() & (v == x) | v.isNull()) & (F.count_if(x.isNotNull() & F.try_multiply(x, x).isNull()) == 0)
+    return F.coalesce(F.when(whole, F.try_divide(F.sqrt(spread), n.cast("double"))), F.stddev_pop(v))
 
 
 def _nan_to_null(v: Column) -> Column:

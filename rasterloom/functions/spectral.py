@@ -8,7 +8,7 @@ BANDS = ["b1", "b2", "b3", "b4", "b5", "b7"]
 
 # Published reduced-major-axis coefficients (Roy et al. 2016, table 2).
 OLI_SLOPE = [0.9785, 0.9542, 0.9825, 1.0073, 1.0171, 0.9949]
-OLI_INTERCEPT_X10000 = [-95.0, -16.0, -22.0, -21.0, -30.0, 29.0]
+OLI_INTERCEPT = [-0.0095, -0.0016, -0.0022, -0.0021, -0.0030, 0.0029]
 
 # Tasseled-cap coefficients for bands 1, 2, 3, 4, 5 and 7.
 TASSELED_CAP = {
@@ -22,10 +22,10 @@ INDEX_FLIP = {"NBR": -1, "B5": 1, "NDVI": -1, "TCB": 1, "NDSI": -1, "TCG": -1, "
 
 
 def harmonize_oli(df: DataFrame) -> DataFrame:
-    """Bring LC08 bands onto the older sensors' scale; other sensors pass through."""
+    """Bring LC08 bands onto the older sensors' scale; other sensors pass through. Bands hold reflectance times 10,000."""
     fixed = {
-        b: F.when(F.col("sensor") == "LC08", ((F.col(b) - i) / F.lit(s)).cast("short")).otherwise(F.col(b).cast("short"))
-        for b, s, i in zip(BANDS, OLI_SLOPE, OLI_INTERCEPT_X10000)
+        b: F.when(F.col("sensor") == "LC08", ((F.col(b) - round(10_000 * i, 6)) / F.lit(s)).cast("short")).otherwise(F.col(b).cast("short"))
+        for b, s, i in zip(BANDS, OLI_SLOPE, OLI_INTERCEPT)
     }
     return df.withColumns(fixed)
 

@@ -137,7 +137,8 @@ def rmse(x: Column, y: Column) -> Column:
 
 
 def rmspe(x: Column, y: Column) -> Column:
-    e = 100 * (x - y) / x
+    """Root mean square percentage error; a truth of 0 has no percentage and is left out."""
+    e = F.try_divide(100 * (x - y), x)
     return F.sqrt(F.avg(e * e))
 
 

@@ -21,43 +21,53 @@ def simple_stats(preds: DataFrame, value: str = "pred") -> dict[str, Column]:
 
 
 def class_counts(preds: DataFrame, value: str = "pred") -> DataFrame:
-    """Members per pixel and class (NULL for members without data), at most one row per class."""
-    return preds.groupBy(*PIXEL, F.col(value).cast("int").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    """Members per pixel and value (NULL for members without data), at most one row per value."""
+    return preds.groupBy(*PIXEL, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _top_class() -> tuple[Column, Column]:
-    """Most frequent class (smallest on ties) and its count, as one maximum over a packed long.
+def _is_int(df: DataFrame, name: str) -> bool:
+    return dict(df.dtypes)[name] in ("tinyint", "smallint", "int")
 
-    A maximum of structs would force a sort-based aggregation; a long keeps it in the hash aggregate. Counts per
-    pixel and class stay below 2^31.
+
+def _top_class(small: bool) -> tuple[Column, Column]:
+    """Most frequent class (smallest on ties, also below zero) and its count.
+
+    For int classes (``small``) this is one maximum over a packed long: a maximum of structs would force a sort-based
+    aggregation. Counts per pixel and class stay below 2^31. Wider or fractional classes take the struct.
     """
-    low = F.lit((1 << 31) - 1)
+    if not small:
+        top = F.max(F.when(F.col("v").isNotNull(), F.struct(F.col("n").alias("n"), (-F.col("v")).alias("v"))))
+        return -top["v"], top["n"]
+    low = F.lit((1 << 31) - 1).cast("long")
     packed = F.max(F.when(F.col("v").isNotNull(), F.shiftleft(F.col("n"), 32) + (low - F.col("v"))))
     return (low - packed.bitwiseAND((1 << 32) - 1)).cast("int"), F.shiftright(packed, 32)
 
 
 def votes(preds: DataFrame, value: str = "pred") -> DataFrame:
     """Winning class (smallest on ties), its share in percent and the number of votes per pixel."""
-    vote, n = _top_class()
+    counts = class_counts(preds, value)
+    vote, n = _top_class(_is_int(counts, "v"))
     total = F.sum(F.when(F.col("v").isNotNull(), F.col("n")))
-    out = class_counts(preds, value).groupBy(*PIXEL).agg(vote.alias("vote"), F.bround(100 * n / total).cast("int").alias("pct_vote"), total.alias("count"))
+    out = counts.groupBy(*PIXEL).agg(vote.alias("vote"), F.bround(100 * n / total).cast("int").alias("pct_vote"), total.alias("count"))
     return out.filter("vote IS NOT NULL")
 
 
 def aggregate_stored(preds: DataFrame, value: str, nodata: int = -9999) -> DataFrame:
-    """Statistics of stored class predictions: NULL-aware, truncated to integers, nodata where no member has data.
+    """Statistics of stored predictions: NULL-aware, truncated to integers at the end, nodata where no member has data.
 
-    All of them follow from the class counts, so one small intermediate table serves every statistic.
+    All of them follow from the counts per value, so one small intermediate table serves every statistic.
     """
-    v, n = F.col("v").cast("long"), F.when(F.col("v").isNotNull(), F.col("n"))
+    counts = class_counts(preds, value)
+    small = _is_int(counts, "v")
+    v, n = F.col("v").cast("long" if small else "double"), F.when(F.col("v").isNotNull(), F.col("n"))
     count, s, q = F.sum(n), F.sum(n * v), F.sum(n * v * v)
     stats = {
         "mean": F.try_divide(s, count),
-        "stdv": F.try_divide(F.sqrt((count * q - s * s).cast("double")), count.cast("double")),
+        "stdv": F.try_divide(F.sqrt(F.greatest((count * q - s * s).cast("double"), F.lit(0.0))), count.cast("double")),
         "count": count,
-        "vote": _top_class()[0],
+        "vote": _top_class(small)[0],
     }
-    out = class_counts(preds, value).groupBy(*PIXEL).agg(*[c.alias(k) for k, c in stats.items()])
+    out = counts.groupBy(*PIXEL).agg(*[c.alias(k) for k, c in stats.items()])
     return out.select(*PIXEL, *[F.coalesce(F.col(k).cast("int"), F.lit(nodata)).alias(k) for k in stats])
 
 

@@ -199,7 +199,7 @@ def year_from_name(spark, d):
 
 _OLI = ", ".join(
     f"CASE WHEN sensor = 'LC08' THEN CAST(trunc(({b} - {i}e0) / {s}e0) AS SMALLINT) ELSE CAST({b} AS SMALLINT) END AS {b}"
-    for b, s, i in zip(sp.BANDS, sp.OLI_SLOPE, [f"({v})" for v in sp.OLI_INTERCEPT_X10000])
+    for b, s, i in zip(sp.BANDS, sp.OLI_SLOPE, [f"({v})" for v in (round(10_000 * i, 6) for i in sp.OLI_INTERCEPT)])
 ).replace(")e0", "e0)")
 
 

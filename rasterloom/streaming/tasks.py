@@ -60,9 +60,14 @@ def stalls(events: DataFrame, max_wait: str, delay: str = "0 seconds") -> DataFr
     return runs.select("task_id", F.unix_micros("w.start").alias("first_us"), F.unix_micros("w.end").alias("stalled_us"), "updates")
 
 
-def progress(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Events per window and state; finished and failed totals are read off it."""
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+def progress(events: DataFrame, width: str = "1 hour", delay: str | None = None) -> DataFrame:
+    """Events per window and state; finished and failed totals are read off it.
+
+    Without ``delay`` no event is ever too late, and the state holds one count per window and state seen. With it, windows older
+    than the delay are closed and what comes later for them is not counted.
+    """
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows if delay is None else rows.withWatermark("ts", delay)
     counts = rows.groupBy(F.window("ts", width).alias("w"), "state").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.unix_micros("w.start").alias("start_us"), "state", "n")
 
