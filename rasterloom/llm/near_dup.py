@@ -9,8 +9,8 @@ grows until the edit distance fits. Their similarity is the number of five-word
 windows of both texts; 0.8 or more is a link. A class is a connected set of links.
 
 First each text is compared with one leader of its bucket in ``STARS`` tables, which joins most groups. Then only texts of different
-classes meet: in a bucket of at most ``SMALL`` texts all of them, in a larger one a few leaders, four times as many
-each round, with all members of other classes, until all members that never led are in one class: then no pair is left. So
+classes meet: in a bucket of at most ``SMALL`` texts all of them, in a larger one a few leaders, ``LEADERS`` times as
+many each round, with all members of other classes, until all members that never led are in one class: then no pair is left. So
 a group of thousands of like texts costs a few comparisons each, and no partner is capped.
 
 Texts without words (null, empty) are a class of their own each. Texts under five words link only to equal ones.
@@ -18,6 +18,7 @@ Texts without words (null, empty) are a class of their own each. Texts under fiv
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ SIMILARITY = 0.8
 SMALL = 256
 STARS = 8
 PAIRS_PER_TASK = 2000
+#: Leaders of a large bucket in the first round, and how many times as many there are in each later one.
+LEADERS = 16
 #: Texts of this many windows must share two tables (at a similarity of 0.8 all but one pair in 20,000 do).
 TWICE = 40
 BITS = 256
@@ -150,15 +153,16 @@ def alignment(a: np.ndarray, b: np.ndarray, most: int) -> list[int] | None:
     looked up in a list made when the band first reaches it.
     """
     n, m = len(a), len(b)
-    miss: dict[int, np.ndarray] = {}
+    miss: dict[int, list[int] | np.ndarray] = {}
 
     def slide(k: int, i: int) -> int:
         """From a[i], b[i + k] along the diagonal to the first mismatch."""
         if k not in miss:
             lo, hi = max(0, -k), min(n, m - k)
-            miss[k] = np.append(np.flatnonzero(a[lo:hi] != b[lo + k : hi + k]) + lo, max(lo, hi)) if hi > lo else np.array([lo])
+            at = np.append(np.flatnonzero(a[lo:hi] != b[lo + k : hi + k]) + lo, hi) if hi > lo else np.array([lo])
+            miss[k] = at.tolist() if n <= 4000 else at  # a list is faster, an array smaller
         at = miss[k]
-        j = int(np.searchsorted(at, i))
+        j = bisect_left(at, i)
         return max(i, int(at[j])) if j < len(at) else i
 
     reach = {0: slide(0, 0)}
@@ -305,7 +309,7 @@ def _settle(large: DataFrame, texts: DataFrame, labels: DataFrame, links: DataFr
     """Compares the members of large buckets by rounds of leaders; see the head of this module."""
     draw = (F.shiftrightunsigned(F.xxhash64("bucket", "id", F.lit("lead")), 11) / F.lit(float(1 << 53))) * F.col("m")
     large = large.withColumn("draw", draw)
-    low, high = 0.0, 4.0
+    low, high = 0.0, float(LEADERS)
     while True:
         now = large.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         open_ = now.filter(F.col("draw") >= low).groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
@@ -319,7 +323,7 @@ def _settle(large: DataFrame, texts: DataFrame, labels: DataFrame, links: DataFr
         pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         found = _links(materialize(pairs, "pairs"), texts)
         labels, links = _joined(labels, links, found)
-        large, low, high = now.drop("label"), high, high * 4
+        large, low, high = now.drop("label"), high, high * LEADERS
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", column: str = "text") -> DataFrame:
