@@ -16,11 +16,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = materialize(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b), F.col(a))).distinct(), "links")
     label = materialize(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("id"), F.min("v")).alias("label")), "labels")
     while True:
-        near = both.join(label.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id"), "label")
-        least = near.union(label).groupBy("id").agg(F.min("label").alias("label"))
+        near = both.join(label.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id"), "label", F.lit(None).cast("bigint").alias("old"))
+        own = label.withColumn("old", F.col("label").cast("bigint"))
+        least = near.union(own).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         up = label.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        jumped = materialize(least.join(up, "label").select("id", F.least("label", "next").alias("label")), "labels")
-        changed = jumped.join(label.withColumnRenamed("label", "old"), "id").filter(F.col("label") != F.col("old")).limit(1).count()
-        label = jumped
-        if not changed:
+        jumped = materialize(least.join(up, "label").select("id", F.least("label", "next").alias("label"), "old"), "labels")
+        label = jumped.drop("old")
+        if not jumped.filter(F.col("label") != F.col("old")).limit(1).count():
             return label

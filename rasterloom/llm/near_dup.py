@@ -19,7 +19,6 @@ Texts without words (null, empty) are a class of their own each. Texts under fiv
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,18 +190,26 @@ def alignment(a: np.ndarray, b: np.ndarray, most: int) -> list[int] | None:
     return runs
 
 
-def similarity(a: list[str], b: list[str]) -> float:
-    """Five-word windows inside matched runs over all windows of both texts; 0 where it can't reach ``SIMILARITY``."""
-    if a == b:
+def prepared(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its words as numbers, equal for equal words of this list, and its sorted labelled windows."""
+    split = pc.split_pattern(pa.array([normal(t) for t in texts], pa.string()), " ")
+    words = split.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.uint64) + np.uint64(1)
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    return [(w, np.sort(kmers(w))) for w in np.split(words, ends[:-1])]
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Five-word windows inside matched runs over all windows of both prepared texts; 0 where it can't reach ``SIMILARITY``."""
+    (x, wx), (y, wy) = a, b
+    if np.array_equal(x, y):
         return 1.0
-    na, nb = len(a) - K + 1, len(b) - K + 1
+    na, nb = len(x) - K + 1, len(y) - K + 1
     if na < 1 or nb < 1 or min(na, nb) < SIMILARITY * max(na, nb):
         return 0.0
-    number: dict[str, int] = {}
-    x, y = (np.array([number.setdefault(w, len(number)) for w in t]) for t in (a, b))
     # an upper bound first: windows in common, whatever their order
-    wx, wy = (Counter(kmer_ids(t).tolist()) for t in (x, y))
-    common = (wx & wy).total()
+    both = np.concatenate([wx, wy])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
     if common < SIMILARITY * (na + nb - common):
         return 0.0
     # each edit spoils a window at least, and only this share of windows may be unmatched
@@ -213,18 +220,15 @@ def similarity(a: list[str], b: list[str]) -> float:
     return held / (na + nb - held)
 
 
-def kmer_ids(x: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(x) - K + 1, np.uint64)
-    for i in range(K):
-        h = mixed(h * _MIX + x[i : i + len(h)].astype(np.uint64) + np.uint64(1))
-    return h
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            rows = batch.slice(at, 200).to_pydict()
-            kept = [(a, b) for a, b, s, t in zip(*rows.values()) if similarity(normal(s).split(" "), normal(t).split(" ")) >= SIMILARITY]
+        firsts = batch.column(2).to_pylist()
+        for lo, hi in chunks(firsts, 2_000_000):
+            rows = batch.slice(lo, hi - lo).to_pydict()
+            # a text of many pairs is prepared once
+            texts = list(dict.fromkeys([*rows["ta"], *rows["tb"]]))
+            ready = dict(zip(texts, prepared(texts)))
+            kept = [(a, b) for a, b, s, t in zip(*rows.values()) if similarity(ready[s], ready[t]) >= SIMILARITY]
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
