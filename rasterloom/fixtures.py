@@ -74,10 +74,10 @@ def samples(spark, sf_dir) -> DataFrame:
 
 
 def sets(spark, sf_dir) -> DataFrame:
-    """Support sets: overlapping 450 m squares."""
+    """Support sets: overlapping 450 m squares, eight per row of sets; their rows grow with the pixels."""
     k = F.col("s_suppkey")
     ul_x = F.lit(UL_X) + (k % 8) * 150
-    ul_y = F.lit(UL_Y) - F.floor(k % 40 / 8) * 150
+    ul_y = F.lit(UL_Y) - F.floor(k / 8) * 90
     return table(spark, sf_dir, "supplier").select(
         k.alias("set_id"),
         ul_x.alias("ul_x"),
@@ -92,18 +92,18 @@ def sets(spark, sf_dir) -> DataFrame:
 
 
 def tiles(spark, sf_dir) -> DataFrame:
-    """Storage tiles: 300 m squares, five per row."""
-    k = F.col("n_nationkey")
-    ul_x = F.lit(UL_X) + (k % 5) * 300
-    ul_y = F.lit(UL_Y) - F.floor(k / 5) * 300
-    return table(spark, sf_dir, "nation").select(
+    """Storage tiles: 150 m squares, ten per row; their rows grow with the pixels and cover all of them."""
+    k = F.col("s_suppkey") - 1
+    ul_x = F.lit(UL_X) + (k % 10) * 150
+    ul_y = F.lit(UL_Y) - F.floor(k / 10) * 150
+    return table(spark, sf_dir, "supplier").select(
         k.alias("tile_id"),
-        F.col("n_name").alias("name"),
-        F.col("n_regionkey").alias("region_id"),
+        F.col("s_name").alias("name"),
+        (F.col("s_nationkey") % 5).alias("region_id"),
         ul_x.alias("ul_x"),
         ul_y.alias("ul_y"),
-        (ul_x + 300).alias("lr_x"),
-        (ul_y - 300).alias("lr_y"),
+        (ul_x + 150).alias("lr_x"),
+        (ul_y - 150).alias("lr_y"),
     )
 
 
@@ -200,14 +200,14 @@ SQL: dict[str, str] = {
       c_mktsegment AS segment, c_nationkey AS zone, CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END AS target,
       c_acctbal AS val FROM customer""",
     "sets": """SELECT s_suppkey AS set_id, 1e6 + (s_suppkey % 8) * 150 AS ul_x,
-      1200000e0 - floor(s_suppkey % 40 / 8) * 150 AS ul_y, 1e6 + (s_suppkey % 8) * 150 + 450 AS lr_x,
-      1200000e0 - floor(s_suppkey % 40 / 8) * 150 - 450 AS lr_y, CAST(s_suppkey * 7 % 101 AS INT) AS oob_rate,
+      1200000e0 - floor(s_suppkey / 8) * 90 AS ul_y, 1e6 + (s_suppkey % 8) * 150 + 450 AS lr_x,
+      1200000e0 - floor(s_suppkey / 8) * 90 - 450 AS lr_y, CAST(s_suppkey * 7 % 101 AS INT) AS oob_rate,
       CAST(s_suppkey * 5 % 17 AS INT) AS imp_0, CAST(s_suppkey * 3 % 17 AS INT) AS imp_1,
       CAST(s_suppkey * 11 % 17 AS INT) AS imp_2 FROM supplier""",
-    "tiles": """SELECT n_nationkey AS tile_id, n_name AS name, n_regionkey AS region_id,
-      1e6 + (n_nationkey % 5) * 300 AS ul_x, 1200000e0 - floor(n_nationkey / 5) * 300 AS ul_y,
-      1e6 + (n_nationkey % 5) * 300 + 300 AS lr_x, 1200000e0 - floor(n_nationkey / 5) * 300 - 300 AS lr_y
-      FROM nation""",
+    "tiles": """SELECT s_suppkey - 1 AS tile_id, s_name AS name, s_nationkey % 5 AS region_id,
+      1e6 + ((s_suppkey - 1) % 10) * 150 AS ul_x, 1200000e0 - floor((s_suppkey - 1) / 10) * 150 AS ul_y,
+      1e6 + ((s_suppkey - 1) % 10) * 150 + 150 AS lr_x, 1200000e0 - floor((s_suppkey - 1) / 10) * 150 - 150 AS lr_y
+      FROM supplier""",
     "predictions": """SELECT CAST(floor(l_partkey / 50) AS INT) AS row, CAST(l_partkey % 50 AS INT) AS col,
       CAST(l_suppkey AS INT) AS set_id, l_linenumber AS pred,
       CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber END AS pred_nd FROM lineitem""",

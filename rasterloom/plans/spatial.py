@@ -13,7 +13,7 @@ from rasterloom.plans.registry import query
 from rasterloom.session import materialize
 from rasterloom.plans.scalars import TX, _SCENE_SQL, _scenes
 
-TILE, SET = 300.0, 450.0
+TILE, SET = 150.0, 450.0
 
 HALF = "s.x >= t.ul_x AND s.x < t.lr_x AND s.y > t.lr_y AND s.y <= t.ul_y"
 AREA = """greatest(least(s.ul_x, s.lr_x), least(t.ul_x, t.lr_x)) < least(greatest(s.ul_x, s.lr_x), greatest(t.ul_x, t.lr_x))
@@ -114,15 +114,16 @@ _YEARS = list(range(1995, 2002))
 _PIVOT = ", ".join(f"coalesce(max(CASE WHEN yr = {y} THEN b4 END), -9999) AS b4_{y}" for y in _YEARS)
 
 
-@query("lookup_pixel", "samples obs", f"""
+@query("lookup_pixel", "samples obs dem", f"""
 px AS (SELECT row, col, {_PIVOT} FROM obs GROUP BY row, col)
 SELECT obs_pt, {", ".join(f"coalesce(b4_{y}, -9999) AS b4_{y}" for y in _YEARS)}
 FROM samples s LEFT JOIN px ON px.row = s.row - 2 AND px.col = s.col - 3
-WHERE s.row - 2 BETWEEN 0 AND 24 AND s.col - 3 BETWEEN 0 AND 49""")
+WHERE s.row - 2 BETWEEN 0 AND (SELECT max(row) FROM dem) AND s.col - 3 BETWEEN 0 AND 49""")
 def lookup_pixel(spark, d):
     px = fx.obs(spark, d).groupBy("row", "col").pivot("yr", _YEARS).agg(F.max("b4"))
     px = px.withColumnsRenamed({str(y): f"b4_{y}" for y in _YEARS})
-    out = j.lookup_pixel(fx.samples(spark, d).select("obs_pt", "row", "col"), px, 2, 3, (25, 50))
+    rows = fx.dem(spark, d).agg(F.max("row") + 1).first()[0] or 0
+    out = j.lookup_pixel(fx.samples(spark, d).select("obs_pt", "row", "col"), px, 2, 3, (rows, 50))
     return out.select("obs_pt", *[F.coalesce(f"b4_{y}", F.lit(-9999)).alias(f"b4_{y}") for y in _YEARS])
 
 
