@@ -266,6 +266,13 @@ def test_mixed_bits_are_a_distribution(texts):
     assert known < unknown
 
 
+def test_mixer_learns_from_every_byte(spark):
+    """What the refinement has met adds up to all bits of all training words, closing bytes included."""
+    words = ["a", "of", "the", "there", "é", "x" * 150] + [f"word{i}" for i in range(50)]
+    model = context_mixing.fit(spark, spark.createDataFrame([(w, 1) for w in words], "token string, c bigint"))
+    assert model.refine[:, :, 2].sum() == 8 * sum(len(w.encode()) + 1 for w in words)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     """Each operator keeps every row and every other column, whatever the rows."""
     small = odd_docs.select("*")
