@@ -4,6 +4,9 @@ Words are lower-cased runs without white space; a k-mer is five words, labelled
 Under each of ``TABLES`` hash functions the ``TUPLE`` smallest labelled k-mers are taken and hashed in text order, so two texts
 meet in a table only if they share those k-mers in the same order. Texts of equal words are one class from the start.
 
+Texts of at most ``SHORT`` windows also meet by prefixes, which miss no pair of them: of n windows at least 0.8 n are in common, so the
+``SHARED`` smallest common ones are among the n - 0.8 n + ``SHARED`` smallest of both; each choice of ``SHARED`` of those is a key.
+
 Pairs that meet, and whose 256 one-bit minima do not rule it out, are aligned word by word in a band around the diagonal that
 grows until the edit distance fits. Their similarity is the number of five-word windows inside matched runs over all
 windows of both texts; 0.8 or more is a link. A class is a connected set of links.
@@ -18,8 +21,10 @@ Texts without words (null, empty) are a class of their own each. Texts under fiv
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +45,10 @@ STARS = 8
 PAIRS_PER_TASK = 2000
 #: Leaders of a large bucket in the first round, and how many times as many there are in each later one.
 LEADERS = 16
-#: Texts of this many windows must share two tables (at a similarity of 0.8 all but one pair in 20,000 do).
+#: Texts of this many windows must share two tables (at a similarity of 0.8 all but one pair in 8,000 do, of long texts all but one in 20,000).
 TWICE = 40
+#: Texts of ``SHARED`` to ``SHORT`` windows meet by prefixes too.
+SHORT, SHARED = 15, 4
 BITS = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -90,6 +97,19 @@ def order_sketch(h: np.ndarray) -> np.ndarray:
     return keys
 
 
+def short_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of a short text: any two such texts with a share of ``SIMILARITY`` of their windows in common have one in common."""
+    n = len(h)
+    if not SHARED <= n <= SHORT:
+        return np.empty(0, np.uint64)
+    first = np.sort(h)[: n - math.ceil(SIMILARITY * n) + SHARED]
+    chosen = np.array(list(combinations(first, SHARED)), np.uint64)
+    key = np.zeros(len(chosen), np.uint64)
+    for i in range(SHARED):
+        key = mixed(key * _MIX + chosen[:, i])
+    return key
+
+
 def bit_sketch(h: np.ndarray) -> np.ndarray:
     """256 bits: the smallest value of each of 256 hash ranges gives its last bit."""
     s = np.sort(h)
@@ -130,7 +150,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 h = kmers(words[ends[i] : ends[i + 1]])
                 sizes.append(len(h))
-                keys.append(order_sketch(h).view(np.int64))
+                keys.append(np.concatenate([order_sketch(h), short_keys(h)]).view(np.int64))
                 bits.append(bit_sketch(h))
             four = np.stack(bits)
             yield pa.RecordBatch.from_arrays(
@@ -274,7 +294,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", column: str = "text") -> Data
 def link_texts(sketch: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, label) of linked texts and the links (a, b) found, for sketches of distinct texts and their rows (id, text)."""
     sketch = materialize(sketch, "distinct-sketch")
-    keyed = sketch.select("id", F.posexplode("keys").alias("t", "key")).select("id", "t", F.xxhash64("t", "key").alias("bucket"))
+    # keys of short texts are of one table, whatever their place
+    keyed = sketch.select("id", F.posexplode("keys").alias("t", "key")).withColumn("t", F.least("t", F.lit(TABLES)))
+    keyed = keyed.select("id", "t", F.xxhash64("t", "key").alias("bucket"))
     lead = F.min_by("id", F.xxhash64("id", "bucket")).alias("lead")
     size = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), lead).filter("m > 1")
     met = materialize(keyed.join(size, "bucket"), "buckets")

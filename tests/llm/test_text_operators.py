@@ -113,6 +113,18 @@ def test_near_duplicates_against_all_pairs(docs, texts):
             assert sum(c == got[i] for c in got.values()) > 2
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """A text of 8 words inside one of 9, and of 9 inside one of 10, are similar enough and always found."""
+    rows = []
+    for i in range(200):
+        for j, n in enumerate((8, 9, 4)):
+            words = [f"w{i}n{n}p{k}" for k in range(n + 1)]
+            rows += [(10 * i + 2 * j, " ".join(words)), (10 * i + 2 * j + 1, " ".join(words[:-1] if i % 2 else words[1:]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[10 * i + 1] == got[10 * i] == 10 * i and got[10 * i + 3] == got[10 * i + 2] == 10 * i + 2 for i in range(200))
+    assert all(got[i] == i for i in got if i % 10 > 3)
+
+
 def test_near_duplicates_of_a_large_bucket(spark, monkeypatch):
     """More like texts than a bucket compares in full: leaders must find the class, and leave the unlike text alone."""
     monkeypatch.setattr(near_dup, "SMALL", 4)
@@ -129,6 +141,17 @@ def test_near_duplicates_of_a_large_bucket(spark, monkeypatch):
     assert (got[100], got[101], got[102], got[103], got[104]) == (100, 101, 102, 103, 103)
 
 
+def test_short_keys_miss_no_pair():
+    pick = np.random.default_rng(4)
+    for _ in range(3000):
+        n, m = pick.integers(4, 16, 2)
+        h = pick.integers(0, 2**63, 30, dtype=np.uint64)
+        common = int(pick.integers(0, min(n, m) + 1))
+        a, b = h[:n], np.concatenate([h[:common], h[n : n + m - common]])
+        if common >= 0.8 * (n + m - common):
+            assert set(near_dup.short_keys(a)) & set(near_dup.short_keys(pick.permutation(b)))
+
+
 def test_alignment_is_the_edit_distance():
     pick = random.Random(5)
     for _ in range(200):
