@@ -274,9 +274,10 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", column: str = "text") -> DataFrame:
-    """(id_col, class_id, n_copies, n_links) of each row with an id: class_id is the smallest id of its class.
+    """(id_col, class_id, n_copies, verified_pairs) of each row with an id: class_id is the smallest id of its class.
 
-    n_copies counts the rows with equal words, n_links the verified links of that text to others that were compared.
+    n_copies counts the rows with equal words. verified_pairs is how many pairs with that text were aligned and found similar; pairs already in
+    one class are not compared, so it is no count of all links and depends on the order of comparing.
     Rows that repeat an id with another text are classed by each of their texts.
     """
     find_package(df.sparkSession)
@@ -285,10 +286,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", column: str = "text") -> Data
     distinct = materialize(sketch.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "distinct")
     own = sketch.filter("n > 0").join(distinct.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id"])
     labels, links = link_texts(own.drop("digest"), rows)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("verified_pairs"))
     info = distinct.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    info = info.select("digest", F.coalesce("label", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    return sketch.select("id", "digest").join(info, "digest").select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links")
+    info = info.select("digest", F.coalesce("label", "rep").alias("class_id"), "n_copies", F.coalesce("verified_pairs", F.lit(0)).cast("bigint").alias("verified_pairs"))
+    return sketch.select("id", "digest").join(info, "digest").select(F.col("id").alias(id_col), "class_id", "n_copies", "verified_pairs")
 
 
 def link_texts(sketch: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -28,7 +28,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's class, and how many links its text has."""
+    """Each document's class, its equal copies, and how many pairs with its text were verified (not all its links)."""
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 

@@ -141,6 +141,13 @@ def test_near_duplicates_of_a_large_bucket(spark, monkeypatch):
     assert (got[100], got[101], got[102], got[103], got[104]) == (100, 101, 102, 103, 103)
 
 
+def test_verified_pairs_are_not_called_links(spark):
+    t = " ".join(f"w{i}" for i in range(9))
+    got = near_dup.classes(spark.createDataFrame([(1, t), (2, t + " x"), (3, "other")], "doc_id bigint, text string"))
+    assert got.columns == ["doc_id", "class_id", "n_copies", "verified_pairs"]
+    assert sorted(rows_of(got, *got.columns)) == [(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 1, 0)]
+
+
 def test_short_keys_miss_no_pair():
     pick = np.random.default_rng(4)
     for _ in range(3000):
