@@ -39,6 +39,29 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def bounded_sample(df: DataFrame, stratum: str, most: int, even: float) -> DataFrame:
+    """At most ``most`` rows of ``df``, all if it has no more: in each stratum those with the smallest hash of the whole row.
+
+    The share ``even`` of the room is dealt evenly to the strata, the rest by their size. Rows equal in all columns come or go together and only
+    come if they fit. Hashes are ranked, never texts.
+    """
+    sizes = {r[0]: r[1] for r in df.groupBy(F.col(f"`{stratum}`")).count().collect()}
+    n = sum(sizes.values())
+    if n <= most:
+        return df
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    kept = F.lit(False)
+    for value, size in sizes.items():
+        room = int(most * even) // len(sizes) + int(most * (1 - even)) * size // n
+        own = F.col(f"`{stratum}`") == F.lit(value)
+        if size > room:
+            # the first hash that no longer fits
+            above = df.filter(own).select(key.alias("h")).orderBy("h").limit(room + 1).agg(F.max("h")).first()[0]
+            own = own & (key < F.lit(above))
+        kept = kept | own
+    return df.filter(kept)
+
+
 def chunks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of at most ``most`` characters together, one text at least."""
     start, size = 0, 0

@@ -4,7 +4,8 @@ A model holds, for each language, the log chance of hashed letter 1- to 3-grams
 its training texts use. A word is scored for the languages that use its script; a path over the words pays
 ``SWITCH`` for each change of language. The language with most letters on the best path is the prediction.
 
-The model is fitted on at most ``MAX_TRAIN`` labelled texts, taken by a hash of text and id; every text is scored whole.
+The model is fitted on at most ``MAX_TRAIN`` labelled texts, taken by a hash of the whole row; half of the room is shared out evenly
+among the languages, so a rare one is not lost; every text is scored whole.
 Null texts and texts without letters are ``und`` with score 0. Ties go to the language that sorts first.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from rasterloom.llm.common import find_package, map_text
+from rasterloom.llm.common import bounded_sample, find_package, map_text
 
 MAX_TRAIN = 20_000
 BUCKETS = 1 << 16
@@ -90,10 +91,8 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def fit(labelled: DataFrame, column: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN) -> Model:
     """Model from rows with a text and a language: one histogram per language leaves each task."""
     find_package(labelled.sparkSession)
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(column).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(column).cast("string").alias("text"))
-    n = rows.select("lang").count()
-    if n > max_train:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
+    rows = bounded_sample(labelled.filter(F.col(lang).isNotNull() & F.col(column).isNotNull()), lang, max_train, 0.5)
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(column).cast("string").alias("text"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}

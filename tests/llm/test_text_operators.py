@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import bpe, context_mixing, decontam, html_text, lang_id, near_dup, quality_rank, quality_rules, queries, secret_scan, trie_tokens
+from rasterloom.llm.common import bounded_sample
 from rasterloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -253,6 +254,21 @@ def test_quality(spark):
     assert sum(a == b for a, b in rows) / len(rows) > 0.8
 
 
+def test_samples_are_bounded(spark):
+    """Copies of one text and null texts do not pass the bound, and a rare stratum is not lost."""
+    rows = [(i, None if i % 2 else "copy", "en") for i in range(2000)] + [(2000 + i, f"t{i}", "fo") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    even, fair = (Counter(r["lang"] for r in bounded_sample(df, "lang", 100, x).collect()) for x in (0.5, 0.0))
+    assert even == {"en": 74, "fo": 5} and fair == {"en": 99}
+    assert bounded_sample(df, "lang", 2005, 0.5).count() == 2005
+
+
+def test_partners_come_from_the_whole_range():
+    got = quality_rank.partners(np.random.default_rng(1), 1000, 80)
+    assert len(set(got)) == 80 and got.max() > 900
+    assert np.bincount(quality_rank.partners(np.random.default_rng(1), 10, 25)).min() >= 2
+
+
 def test_rules_are_the_sql(spark):
     out = queries.op8_quality_rules(spark, SF)
     con = duckdb.connect()
