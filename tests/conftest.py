@@ -13,8 +13,3 @@ def spark():
     session = local_session("4", shuffle_partitions=4, app="tests")
     yield session
     session.stop()
-
-
-def rows(df, *cols):
-    """Sorted tuples of a result."""
-    return sorted(tuple(r) for r in (df.select(*cols) if cols else df).collect())

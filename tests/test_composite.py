@@ -4,7 +4,7 @@ import random
 import statistics
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from rasterloom.operators import composite as cp, segmentation as sg

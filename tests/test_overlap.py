@@ -2,7 +2,7 @@
 
 import random
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from rasterloom.operators.joins import last_overlap, nearest_value, points_in_polygons

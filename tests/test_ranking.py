@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from rasterloom.operators import ranking as rk, sampling as sa

@@ -1,7 +1,7 @@
 """Readers and writers: header rules, pushdown, types, skipping what exists."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from rasterloom.session import materialize, scratch_root

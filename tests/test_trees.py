@@ -4,7 +4,7 @@ import math
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from rasterloom.operators import trees as tr
