@@ -1,3 +1,5 @@
+"""Odd rows for the tests of the text operators."""
+
 import pytest
 from pyspark.sql import types as T
 

@@ -17,6 +17,8 @@ from rasterloom.llm import bpe, context_mixing, decontam, html_text, lang_id, ne
 from rasterloom.llm.common import bounded_sample
 from rasterloom.llm.components import components
 
+from odd_tables import no_docs, odd_docs  # noqa: F401
+
 SF = "/root/testdata/sf0.001"
 
 
