@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm import bpe, context_mixing, decontam, html_text, lang_id, near_dup, quality_rank, quality_rules, secret_scan, trie_tokens
+from rasterloom.llm import (
+    bpe, context_mixing, decontam, hash_neighbours, html_text, lang_id, lexical_search, near_dup, quality_rank, quality_rules, resample,
+    secret_scan, trie_tokens,
+)
 from rasterloom.llm.common import fold, table
 
 
@@ -78,12 +81,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens", "n_pretokens", "n_distinct_pretokens")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark, and the ranks of the tenth that is drawn."""
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return hash_neighbours.neighbours(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_bpe, op3_html_text, op4_near_dup, op5_secrets,
         op6_language, op7_quality, op8_quality_rules, op9_context_mixing, op10_token_counts,
+        op11_lexical_search, op12_resample, op13_hash_neighbours,
     )
 }
 
-ORACLES: dict[str, str] = {"op8_quality_rules": quality_rules.sql()}
+ORACLES: dict[str, str] = {"op8_quality_rules": quality_rules.sql(), "op11_lexical_search": lexical_search.sql(), "op12_resample": resample.sql()}
