@@ -12,6 +12,29 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 ROWS_PER_BUCKET = 1_000_000
 
 
+#: Quantiles asked for at most, and the values a bucket's search reads at each of its two levels.
+MOST_BUCKETS, FAN = 4096, 64
+
+
+def quantile_bucket(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
+    """Bucket of a numeric ``key`` that never decreases along it, near ``rows_per_bucket`` rows each whatever the spacing of the values.
+
+    Bounds are approximate quantiles of the whole column from one aggregation, at most ``MOST_BUCKETS`` of them; only equal values can crowd a
+    bucket. NULL goes to bucket 0.
+    """
+    marks = [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)]
+    # a percentile sketch keeps doubles: the cast does not change the order of values, so bounds stay usable for long keys
+    size, found = df.agg(F.count(key), F.percentile_approx(F.col(key).cast("double"), marks, 4 * MOST_BUCKETS)).first()
+    parts = min(MOST_BUCKETS, -(-size // rows_per_bucket))
+    if parts < 2:
+        return F.lit(0)
+    bounds = sorted({found[i * MOST_BUCKETS // parts - 1] for i in range(1, parts)})
+    value, every = F.col(key).cast("double"), F.lit(bounds).cast("array<double>")
+    below = lambda within: F.size(F.filter(within, lambda b: b < value))
+    group = below(F.lit(bounds[FAN - 1 :: FAN]).cast("array<double>")) if len(bounds) >= FAN else F.lit(0)
+    return F.when(F.col(key).isNull(), 0).otherwise(group * FAN + below(F.slice(every, group * FAN + 1, FAN)))
+
+
 def hash_key(seed: str, *key: Column | str) -> Column:
     """md5 of ``seed|key|...``: the reproducible random order every sampler uses."""
     cols = [F.col(k) if isinstance(k, str) else k for k in key]
