@@ -85,11 +85,41 @@ def id_rank(
     return ordered_rank(df, F.floor(F.col(key) / F.lit(width)), [F.col(key)], by, rank, total)
 
 
+def hash_first(df: DataFrame, seed: str, key: list[str], n: int | Column | DataFrame, by: list[str] = (), rank: str = "_rk", total: str = "_size") -> DataFrame:
+    """The first ``n`` rows per group in hash order, with their rank and their group's row count.
+
+    ``n`` may use ``_size``, or be a table of ``by`` and ``_most``; a group that it lacks gives no rows.
+
+    Group sizes are known after one map-side count, and hashes are even, so a row can only be among the first ``n`` if its hash is below a
+    threshold near n / size. Rows above it are not shuffled. Should a group fall short of its ``n`` below the threshold, which a margin of eight
+    standard deviations leaves to repeated keys, all rows are ranked instead.
+    """
+    by = list(by)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    if isinstance(n, DataFrame):
+        sizes, most = sizes.join(n, by), F.col("_most")
+    else:
+        most = n if isinstance(n, Column) else F.lit(n)
+    want = F.least(F.greatest(most.cast("double"), F.lit(0.0)), F.col("_size"))
+    sizes = sizes.select(*by, "_size", want.alias("_want"), F.try_divide(want + 8 * F.sqrt(want) + 32, F.col("_size")).alias("_below"))
+    if by:
+        met = df.join(sizes, by)
+    else:
+        met = df.withColumns({c: F.lit(v) for c, v in sizes.first().asDict().items()})
+    lead = F.conv(F.substring(hash_key(seed, *key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    near = met.filter(lead < F.col("_below"))
+    have = near.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.first("_want").alias("_want"))
+    if by:
+        have = sizes.select(*by, "_want").join(have.select(*by, "_n"), by, "left")
+    if have.filter(F.coalesce("_n", F.lit(0)) < F.col("_want")).limit(1).count():
+        near = met
+    ranked = hash_rank(near, seed, key, by, rank).filter(F.col(rank) <= F.col("_want")).drop("_want", "_below")
+    return ranked.withColumnRenamed("_size", total)
+
+
 def hash_sample(df: DataFrame, seed: str, key: list[str], n: int | Column, by: list[str] = ()) -> DataFrame:
     """The first ``n`` rows per group in hash order; ``n`` may use ``_size``, the group's row count."""
-    ranked = hash_rank(df, seed, key, by, "_rk", "_size")
-    limit = n if isinstance(n, Column) else F.lit(n)
-    return ranked.filter(F.col("_rk") <= limit).drop("_rk", "_size")
+    return hash_first(df, seed, key, n, by).select(df.columns)
 
 
 def running_sums(df: DataFrame, order: Column, bucket: Column, values: list[str], by: list[str] = ()) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterloom.operators.accuracy import in_bin
-from rasterloom.operators.ranking import hash_rank, hash_sample, id_rank, ntile_of
+from rasterloom.operators.ranking import hash_first, hash_rank, hash_sample, id_rank, ntile_of
 
 
 def stratified(df: DataFrame, value: str, key: str, bins: list[tuple[int, int]], n: int, seed: str, pct_train: float | None = None) -> DataFrame:
     """``n / len(bins)`` rows per ``(lo, hi]`` bin (all of them where there are fewer), cut into train and test."""
     per = n // len(bins)
     binned = df.withColumn("bin", in_bin(F.col(value), bins)).filter(F.col("bin").isNotNull())
-    ranked = hash_rank(binned, seed, [key], ["bin"], "_rk", "_size").filter(F.col("_rk") <= per)
+    ranked = hash_first(binned, seed, [key], per, ["bin"])
     cut = F.floor(F.least(F.col("_size"), F.lit(per)) * F.lit(1.0 if pct_train is None else pct_train))
     return ranked.withColumn("split", F.when(F.col("_rk") <= cut, "train").otherwise("test")).drop("_rk", "_size")
 
@@ -22,9 +22,8 @@ def proportional(df: DataFrame, tile: str, stratum: str, key: str, n: int, lo: f
     counts = df.groupBy(tile, stratum).agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.groupBy(tile).agg(F.sum("_n").alias("_t"))
     share = F.least(F.greatest(F.col("_n") / F.col("_t"), F.lit(lo)), F.lit(hi))
-    want = counts.join(totals, tile).select(tile, stratum, F.floor(share * n).alias("_want"))
-    ranked = hash_rank(df, seed, [key], [tile, stratum], "_rk")
-    return ranked.join(want, [tile, stratum]).filter(F.col("_rk") <= F.col("_want")).drop("_rk", "_want")
+    want = counts.join(totals, tile).select(tile, stratum, F.floor(share * n).alias("_most"))
+    return hash_first(df, seed, [key], want, [tile, stratum]).select(df.columns)
 
 
 def from_zones(
@@ -37,7 +36,7 @@ def from_zones(
         "split", F.when(F.col("_rk") <= F.floor(F.col("_t") * F.lit(pct_zone)), "train").otherwise("test")
     )
     n_false = int(per * inflation) if inflation else per
-    neg = hash_rank(df.filter(F.col(zone) == false_val), f"{seed}n", [key], rank="_rk", total="_t").filter(F.col("_rk") <= n_false)
+    neg = hash_first(df.filter(F.col(zone) == false_val), f"{seed}n", [key], n_false, total="_t")
     cut = F.floor(F.least(F.col("_t"), F.lit(n_false)) * F.lit(pct_sample))
     neg = neg.withColumn("split", F.when(F.col("_rk") <= cut, "train").otherwise("test"))
     pos = df.join(zones.select(zone, "split"), zone)
@@ -56,7 +55,7 @@ def top_random(df: DataFrame, key: list[str], n: int, seed: str) -> DataFrame:
 
 def random_points(df: DataFrame, key: list[str], n: int, seed: str) -> DataFrame:
     """``n`` rows in hash order with a 1-based id."""
-    return hash_rank(df, seed, key, rank="id").filter(F.col("id") <= n)
+    return hash_first(df, seed, key, n, rank="id", total="_n").drop("_n")
 
 
 def bootstrap(members: DataFrame, seed: str, share: float = 0.63) -> DataFrame:
