@@ -192,7 +192,7 @@ def draw(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_words:
     """
     gain = gains(histogram(docs, "text", grams), histogram(target, "text", grams))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = materialize(weigh(base, gain, grams, seed), "weights")
+    scored = materialize(weigh(base, gain, grams, seed).drop("text"), "weights")
     able = (F.col("n_words") >= min_words) & F.col("score").isNotNull()
     long_enough, able_count = scored.agg(F.count_if(F.col("n_words") >= min_words), F.count_if(able)).first()
     k = min(percent * long_enough // 100, able_count)
