@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rasterloom.llm.common import chunks, find_package
+from rasterloom.llm.common import chunks, find_package, free_name, map_text
 from rasterloom.llm.components import components
 from rasterloom.session import materialize
 
@@ -120,7 +120,11 @@ def bit_sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-_SKETCH = "id bigint, digest string, n int, keys array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+#: Dropped ids that may be broadcast: 16 bytes each.
+BROADCAST_ROWS = 1_000_000
+#: Texts of at most so many windows carry a hash of each, so that what they share is counted before a text is moved.
+WINDOWS = 64
+_SKETCH = "id bigint, digest string, n int, keys array<bigint>, w array<int>, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
 
 
 def normal(text: str | None) -> str:
@@ -141,17 +145,19 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = named[flat.indices.to_numpy(zero_copy_only=False)]
             count = pc.list_value_length(split).to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(count)])
-            sizes, keys, bits = [], [], []
+            sizes, keys, bits, held = [], [], [], []
             for i in range(b - a):
                 if count[i] < K:
                     sizes.append(0)
                     keys.append(None)
+                    held.append(None)
                     bits.append(np.zeros(4, np.int64))
                     continue
                 h = kmers(words[ends[i] : ends[i + 1]])
                 sizes.append(len(h))
                 keys.append(np.concatenate([order_sketch(h), short_keys(h)]).view(np.int64))
                 bits.append(bit_sketch(h))
+                held.append((h >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(h) <= WINDOWS else None)
             four = np.stack(bits)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -159,9 +165,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(digest),
                     pa.array(np.array(sizes, np.int32)),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(held, pa.list_(pa.int32())),
                     *[pa.array(np.ascontiguousarray(four[:, i])) for i in range(4)],
                 ],
-                names=["id", "digest", "n", "keys", "b0", "b1", "b2", "b3"],
+                names=["id", "digest", "n", "keys", "w", "b0", "b1", "b2", "b3"],
             )
 
 
@@ -253,7 +260,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _may_link(x: str, y: str) -> Column:
-    """Whether sizes and bit sketches allow a similarity of 0.8.
+    """Whether sizes, bit sketches and the windows of short texts allow a similarity of 0.8.
 
     At that similarity a range's minimum differs with a chance of at most 0.2 and then its bit in half of the cases; five
     standard deviations above that mean are let through. Short texts fill fewer ranges.
@@ -261,7 +268,10 @@ def _may_link(x: str, y: str) -> Column:
     used = F.least(F.lit(BITS), F.col(f"{x}.n") + F.col(f"{y}.n")).cast("double")
     apart = sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    return (small >= F.lit(SIMILARITY) * large) & (apart <= 0.1 * used + 1.5 * F.sqrt(used) + 2)
+    # 0.8 of all windows of both are in common; one is allowed for, as two hashes of 32 bits in a text may be equal
+    shared = F.size(F.array_intersect(f"{x}.w", f"{y}.w")) + 1 >= F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+    both = F.col(f"{x}.w").isNull() | F.col(f"{y}.w").isNull() | shared
+    return (small >= F.lit(SIMILARITY) * large) & (apart <= 0.1 * used + 1.5 * F.sqrt(used) + 2) & both
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -278,18 +288,52 @@ def classes(df: DataFrame, id_col: str = "doc_id", column: str = "text") -> Data
 
     n_copies counts the rows with equal words. verified_pairs is how many pairs with that text were aligned and found similar; pairs already in
     one class are not compared, so it is no count of all links and depends on the order of comparing.
-    Rows that repeat an id with another text are classed by each of their texts.
+    Rows that repeat an id with another text are classed by their own text.
+    """
+    sketch, info, _ = _classed(df, id_col, column)
+    return sketch.join(info, "digest").select(F.col("id").alias(id_col), "class_id", "n_copies", "verified_pairs")
+
+
+def _classed(df: DataFrame, id_col: str, column: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(id, digest) of each row with an id, (digest, class_id, n_copies, verified_pairs) of each text, and whether an id has two texts.
+
+    A text goes by the smallest id that has it; where an id has several texts, all but one of them go by a hash of the text below zero.
     """
     find_package(df.sparkSession)
     rows = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{column}`").cast("string").alias("text"))
     sketch = materialize(rows.mapInArrow(_sketches, _SKETCH), "sketch")
-    distinct = materialize(sketch.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "distinct")
-    own = sketch.filter("n > 0").join(distinct.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id"])
-    labels, links = link_texts(own.drop("digest"), rows)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("verified_pairs"))
-    info = distinct.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    info = info.select("digest", F.coalesce("label", "rep").alias("class_id"), "n_copies", F.coalesce("verified_pairs", F.lit(0)).cast("bigint").alias("verified_pairs"))
-    return sketch.select("id", "digest").join(info, "digest").select(F.col("id").alias(id_col), "class_id", "n_copies", "verified_pairs")
+    per_id = sketch.groupBy("id").agg(F.min("digest").alias("first"), F.max("digest").alias("last"))
+    several = bool(per_id.filter("first < last").limit(1).count())
+    texts = sketch.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
+    key = F.col("rep")
+    if several:
+        least = texts.groupBy("rep").agg(F.min("digest").alias("least"))
+        texts = texts.join(least, "rep")
+        key = F.when(F.col("digest") == F.col("least"), key).otherwise(-2 - F.shiftrightunsigned(F.xxhash64("digest"), 1))
+    distinct = materialize(texts.select("digest", "rep", "n_copies", key.alias("key")), "distinct")
+    own = sketch.filter("n > 0").join(distinct.select("digest", "key", F.col("rep").alias("id")), ["digest", "id"])
+    if several:
+        named = map_text(rows, "text", [("digest", "string")], _digests).join(distinct.select("digest", "key", F.col("rep").alias("id")), ["digest", "id"])
+        rows = named.select(F.col("key").alias("id"), "text")
+    # rows of one id and text are alike
+    own = own.drop("digest", "id").withColumnRenamed("key", "id").dropDuplicates(["id"])
+    labels, links = link_texts(own, rows)
+    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("verified_pairs"))
+    info = distinct.join(labels.withColumnRenamed("id", "key"), "key", "left").join(degree, "key", "left").withColumn("class_id", F.coalesce("label", "key"))
+    if several:
+        least = info.groupBy("class_id").agg(F.min("rep").alias("least"))
+        info = info.join(least, "class_id").withColumn("class_id", F.col("least"))
+    info = info.select("digest", "class_id", "n_copies", F.coalesce("verified_pairs", F.lit(0)).cast("bigint").alias("verified_pairs"))
+    return sketch.select("id", "digest"), info, several
+
+
+def _digest(text: str | None) -> str:
+    plain = normal(text)
+    return xxhash.xxh3_128_hexdigest(plain) if plain else ""
+
+
+def _digests(texts: list[str | None]) -> list:
+    return [[_digest(t) for t in texts]]
 
 
 def link_texts(sketch: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -354,6 +398,16 @@ def _settle(large: DataFrame, texts: DataFrame, labels: DataFrame, links: DataFr
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", column: str = "text") -> DataFrame:
-    """``df`` without the rows whose class has a smaller id. Rows without an id stay."""
-    gone = classes(df, id_col, column).filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone"))
-    return df.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("_gone"), "left_anti")
+    """``df`` without the rows whose class has a smaller id, each judged by its own text. Rows without an id stay.
+
+    Up to ``BROADCAST_ROWS`` dropped ids are sent to the texts, so that these stay where they are; more are joined by a shuffle.
+    """
+    sketch, info, several = _classed(df, id_col, column)
+    gone = sketch.join(info, "digest").filter(F.col("id") != F.col("class_id")).select(F.col("id").alias("_gone"), F.col("digest").alias("_gone_text")).distinct()
+    own = F.col(f"`{id_col}`").cast("bigint") == F.col("_gone")
+    if not several:
+        gone = materialize(gone.select("_gone"), "gone")
+        return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, own, "left_anti")
+    digest = free_name(df, "digest_of_text")
+    named = map_text(df, column, [(digest, "string")], _digests)
+    return named.join(materialize(gone, "gone"), own & (F.col(digest) == F.col("_gone_text")), "left_anti").drop(digest)

@@ -341,3 +341,28 @@ def test_odd_rows(spark, odd_docs, no_docs):
         assert decontam.drop_leaks(docs, bench).columns == docs.columns
         assert html_text.extract(docs.withColumnRenamed("text", "html")).count() == n
         assert context_mixing.score(docs, F.col("doc_id") > 2).count() == n
+
+
+def test_repeated_ids_keep_their_own_texts(spark):
+    """The only copy of a text stays although its id also stands at another text's copy."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(0, a), (1, a), (1, b), (2, a), (1, c), (3, c + " more"), (1, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("digest", F.lit("x"))
+    got = sorted(near_dup.classes(docs).select("doc_id", "class_id", "n_copies").collect())
+    assert [tuple(r) for r in got] == [(0, 0, 3), (1, 0, 3), (1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 0, 3), (3, 1, 1)]
+    kept = near_dup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=str) == sorted([(0, a), (1, b), (1, c), (1, None), (None, a)], key=str)
+    bench = spark.createDataFrame([(1, a)], "item_id bigint, text string")
+    left = decontam.drop_leaks(docs, bench)
+    assert left.columns == docs.columns and sorted(((r[0], r[1]) for r in left.collect()), key=str) == sorted([(1, b), (1, c), (3, c + " more"), (1, None)], key=str)
+
+
+def test_texts_with_one_passage_in_common_do_not_all_meet(spark):
+    """Candidates of unlike short texts are ruled out by their windows before any text is read."""
+    shared = [f"s{i}" for i in range(30)]
+    texts = [" ".join([f"u{k}x{i}" for i in range(6)] + shared + [f"v{k}x{i}" for i in range(6)]) for k in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    sketch = rows.mapInArrow(near_dup._sketches, near_dup._SKETCH).cache()
+    assert sketch.alias("x").join(sketch.alias("y"), (F.col("x.id") < F.col("y.id")) & near_dup._may_link("x", "y")).count() == 0
+    assert all(r["class_id"] == r["doc_id"] for r in near_dup.classes(rows.withColumnRenamed("id", "doc_id")).collect())
