@@ -8,6 +8,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from rasterloom.operators.ranking import hash_sample
+
 #: Characters of text a Python worker handles at once; a longer text is a chunk of its own.
 CHUNK_CHARS = 4_000_000
 
@@ -62,6 +64,23 @@ def bounded_sample(df: DataFrame, stratum: str, most: int, even: float) -> DataF
     return df.filter(kept)
 
 
+def sampled(rows: DataFrame, keys: DataFrame, key: str, stratum: str, most: int, even: float) -> DataFrame:
+    """``rows`` (key, text) of at most ``most`` of the ``keys`` (key, stratum), with their stratum; a NULL key is never taken.
+
+    The keys are drawn by their hash, never by a text, and only they are shuffled; being at most ``most`` they go to the rows as a broadcast, so no text
+    moves. ``even`` deals room as in ``bounded_sample``, which also cuts the result where repeated keys bring more rows than fit.
+    """
+    keys = keys.select(F.col(f"`{key}`").alias(key), F.col(f"`{stratum}`").alias(stratum)).filter(F.col(f"`{key}`").isNotNull())
+    sizes = {r[0]: r[1] for r in keys.groupBy(stratum).count().collect()}
+    n = sum(sizes.values())
+    if n > most:
+        room = {v: int(most * even) // len(sizes) + int(most * (1 - even)) * size // n for v, size in sizes.items()}
+        rooms = F.create_map(*[F.lit(x) for pair in room.items() for x in pair])
+        keys = hash_sample(keys, "sample", [key], rooms[F.col(stratum)], [stratum])
+    picked = rows.join(F.broadcast(keys), key)
+    return picked if picked.select(key).count() <= most else bounded_sample(picked, stratum, most, even)
+
+
 def chunks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of at most ``most`` characters together, one text at least."""
     start, size = 0, 0

@@ -17,9 +17,9 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm.common import find_package
+from rasterloom.llm.common import find_package, free_name, map_text
 
 SEED = 5
 COVERAGE = 0.5
@@ -107,24 +107,24 @@ class Block:
         return out
 
 
+def item_blocks(spark: SparkSession, benchmark: DataFrame) -> list:
+    """Broadcasts of the different items, in blocks of bounded size."""
+    items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    chars = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
+    blocks = int(chars // BLOCK_CHARS) * 2 + 1
+    own = [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items for b in range(blocks)]
+    return [spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in i.collect()]) for i in own]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row per document and item of which it holds ``coverage`` or more: doc_id, item_id, coverage, n_tiles, longest_tile, tiles.
 
     Repeated rows of one document give repeated results.
     """
     find_package(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
     rows = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    chars = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    blocks = int(chars // BLOCK_CHARS) * 2 + 1
-    parts = []
-    for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        shared = sc.broadcast([(r["item_id"], r["text"]) for r in own.collect()])
-        parts.append(rows.mapInArrow(_pass(shared, coverage), _RESULT))
-    return reduce(DataFrame.union, parts)
+    return reduce(DataFrame.union, [rows.mapInArrow(_pass(shared, coverage), _RESULT) for shared in item_blocks(docs.sparkSession, benchmark)])
 
 
 def _pass(shared, coverage: float):
@@ -146,6 +146,19 @@ def _pass(shared, coverage: float):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows without id or text stay."""
-    gone = leaks(docs, benchmark, coverage).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("`doc_id`").cast("bigint") == F.col("_gone"), "left_anti")
+    """``docs`` without the rows whose text holds an item; rows without a text stay. Each row is judged by its own text, where it lies: no shuffle."""
+    flag = free_name(docs, "holds_item")
+    for shared in item_blocks(docs.sparkSession, benchmark):
+        docs = map_text(docs, "text", [(flag, "boolean")], _holds(shared, coverage)).filter(~F.col(flag)).drop(flag)
+    return docs
+
+
+def _holds(shared, coverage: float):
+    blocks: list[Block] = []
+
+    def make(texts: list[str | None]) -> list:
+        if not blocks:
+            blocks.append(Block(shared.value))
+        return [[t is not None and any(share >= coverage for _, share, _ in blocks[0].leaks(t)) for t in texts]]
+
+    return make

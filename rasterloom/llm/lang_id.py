@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from rasterloom.llm.common import bounded_sample, find_package, map_text
+from rasterloom.llm.common import bounded_sample, find_package, map_text, sampled
 
 MAX_TRAIN = 20_000
 BUCKETS = 1 << 16
@@ -88,10 +88,14 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return bucket, of, script, word[own]
 
 
-def fit(labelled: DataFrame, column: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN) -> Model:
-    """Model from rows with a text and a language: one histogram per language leaves each task."""
+def fit(labelled: DataFrame, column: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN, key: str | None = None) -> Model:
+    """Model from rows with a text and a language, drawn by their key, or without one by the whole row: one histogram per language leaves each task."""
     find_package(labelled.sparkSession)
-    rows = bounded_sample(labelled.filter(F.col(lang).isNotNull() & F.col(column).isNotNull()), lang, max_train, 0.5)
+    known = labelled.filter(F.col(lang).isNotNull() & F.col(column).isNotNull())
+    if key is None:
+        rows = bounded_sample(known, lang, max_train, 0.5)
+    else:
+        rows = sampled(known.select(key, column), known.select(key, lang).distinct(), key, lang, max_train, 0.5)
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(column).cast("string").alias("text"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

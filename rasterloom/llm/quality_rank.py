@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterloom.llm.common import bounded_sample, map_text
+from rasterloom.llm.common import bounded_sample, map_text, sampled
 
 MAX_TRAIN = 40_000
 PAIRS = 8
@@ -78,10 +78,16 @@ def _score(ranker: Ranker, texts: list[str | None]) -> list:
     return [score, (score >= CUT).astype(np.int32)]
 
 
-def fit(labelled: DataFrame, column: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> Ranker:
-    """Ranker from rows with a text and a label 0 or 1. The features of the bounded sample meet in the driver."""
+def fit(
+    docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", column: str = "text", label: str = "quality", max_train: int = MAX_TRAIN
+) -> Ranker:
+    """Ranker from the texts of ``docs`` with a label 0 or 1 in ``labels`` (or, without that table, in ``docs``). The features of the bounded sample meet in the driver.
+
+    Without a label of either kind every text scores alike.
+    """
     # each label keeps its share: the threshold is a quantile at the share of bad labels
-    rows = bounded_sample(labelled.filter(F.col(label).isin(0, 1)), label, max_train, 0.0)
+    known = (docs if labels is None else labels).filter(F.col(label).isin(0, 1))
+    rows = bounded_sample(known, label, max_train, 0.0) if labels is None else sampled(docs.select(key, column), known, key, label, max_train, 0.0)
     rows = rows.select(F.col(label).cast("int").alias("label"), F.col(column).cast("string").alias("text"))
     got = map_text(rows, "text", [("x", "array<double>")], _features).select("label", "x").toPandas()
     width = len(features(None))

@@ -51,7 +51,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted languages; texts of fold 2 of 4 take no part in the fit."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", fold("doc_id", 4).alias("fold"))
-    model = lang_id.fit(docs.filter("fold <> 2"))
+    model = lang_id.fit(docs.filter("fold <> 2"), key="doc_id")
     return lang_id.predict(docs.select("doc_id", "text", (F.col("fold") == 2).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -59,7 +59,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores; labels of fold 0 of 5 take no part in the fit."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", fold("doc_id", 5).alias("fold"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    ranker = quality_rank.fit(docs.filter("fold <> 0").join(labels, "doc_id"))
+    ranker = quality_rank.fit(docs, labels.filter(fold("doc_id", 5) != 0))
     return quality_rank.score(docs.select("doc_id", "text", (F.col("fold") == 0).alias("held_out")), ranker).select("doc_id", "held_out", "score", "predicted")
 
 
