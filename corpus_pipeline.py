@@ -17,7 +17,7 @@ from rasterloom.session import scratch_path
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the ranker, fitted on the labelled texts outside fold 0 of 5, predicts as good."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    ranker = quality_rank.fit(docs.select("doc_id", "text").filter(fold("doc_id", 5) != 0).join(labels, "doc_id"))
+    ranker = quality_rank.fit(docs.select("doc_id", "text"), labels.filter(fold("doc_id", 5) != 0))
     # the score is joined by row, not by id, so repeated ids keep their own verdict
     held = free_name(docs, "row_held")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(held)
