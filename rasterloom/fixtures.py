@@ -73,11 +73,15 @@ def samples(spark, sf_dir) -> DataFrame:
     )
 
 
+#: Metres from one row of sets to the next. Pixel rows grow by four where rows of sets grow by 1.25, so 96 m keeps up with them.
+SET_STEP = 96
+
+
 def sets(spark, sf_dir) -> DataFrame:
     """Support sets: overlapping 450 m squares, eight per row of sets; their rows grow with the pixels."""
     k = F.col("s_suppkey")
     ul_x = F.lit(UL_X) + (k % 8) * 150
-    ul_y = F.lit(UL_Y) - F.floor(k / 8) * 90
+    ul_y = F.lit(UL_Y) - F.floor(k / 8) * SET_STEP
     return table(spark, sf_dir, "supplier").select(
         k.alias("set_id"),
         ul_x.alias("ul_x"),
@@ -107,6 +111,23 @@ def tiles(spark, sf_dir) -> DataFrame:
     )
 
 
+#: Rings of a zone from its tile's upper-left corner: a concave outline and a hole.
+ZONE_RINGS = [
+    [(1, -1), (149, -31), (149, -149), (80, -101), (31, -149), (1, -70)],
+    [(50, -50), (100, -65), (85, -95), (45, -80)],
+]
+
+
+def zones(spark, sf_dir) -> DataFrame:
+    """Polygon zones, one ring per row: in each tile a concave outline with a hole."""
+    out = None
+    for ring in ZONE_RINGS:
+        points = F.array(*[F.struct((F.col("ul_x") + x).alias("x"), (F.col("ul_y") + y).alias("y")) for x, y in ring])
+        rows = tiles(spark, sf_dir).select("tile_id", "region_id", points.alias("ring"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def predictions(spark, sf_dir) -> DataFrame:
     """Ensemble members per pixel."""
     return table(spark, sf_dir, "lineitem").select(
@@ -199,15 +220,20 @@ SQL: dict[str, str] = {
       CAST(floor(c_custkey / 50) AS INT) AS row, CAST(c_custkey % 50 AS INT) AS col,
       c_mktsegment AS segment, c_nationkey AS zone, CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END AS target,
       c_acctbal AS val FROM customer""",
-    "sets": """SELECT s_suppkey AS set_id, 1e6 + (s_suppkey % 8) * 150 AS ul_x,
-      1200000e0 - floor(s_suppkey / 8) * 90 AS ul_y, 1e6 + (s_suppkey % 8) * 150 + 450 AS lr_x,
-      1200000e0 - floor(s_suppkey / 8) * 90 - 450 AS lr_y, CAST(s_suppkey * 7 % 101 AS INT) AS oob_rate,
+    "sets": f"""SELECT s_suppkey AS set_id, 1e6 + (s_suppkey % 8) * 150 AS ul_x,
+      1200000e0 - floor(s_suppkey / 8) * {SET_STEP} AS ul_y, 1e6 + (s_suppkey % 8) * 150 + 450 AS lr_x,
+      1200000e0 - floor(s_suppkey / 8) * {SET_STEP} - 450 AS lr_y, CAST(s_suppkey * 7 % 101 AS INT) AS oob_rate,
       CAST(s_suppkey * 5 % 17 AS INT) AS imp_0, CAST(s_suppkey * 3 % 17 AS INT) AS imp_1,
       CAST(s_suppkey * 11 % 17 AS INT) AS imp_2 FROM supplier""",
     "tiles": """SELECT s_suppkey - 1 AS tile_id, s_name AS name, s_nationkey % 5 AS region_id,
       1e6 + ((s_suppkey - 1) % 10) * 150 AS ul_x, 1200000e0 - floor((s_suppkey - 1) / 10) * 150 AS ul_y,
       1e6 + ((s_suppkey - 1) % 10) * 150 + 150 AS lr_x, 1200000e0 - floor((s_suppkey - 1) / 10) * 150 - 150 AS lr_y
       FROM supplier""",
+    "zone_edges": " UNION ALL ".join(
+        f"SELECT tile_id, region_id, ul_x + {a[0]} AS x1, ul_y + {a[1]} AS y1, ul_x + {b[0]} AS x2, ul_y + {b[1]} AS y2 FROM tiles"
+        for ring in ZONE_RINGS
+        for a, b in zip(ring, ring[1:] + ring[:1])
+    ),
     "predictions": """SELECT CAST(floor(l_partkey / 50) AS INT) AS row, CAST(l_partkey % 50 AS INT) AS col,
       CAST(l_suppkey AS INT) AS set_id, l_linenumber AS pred,
       CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber END AS pred_nd FROM lineitem""",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rasterloom.functions.grid import Affine
-from rasterloom.operators.overlap import boxes_overlap, overlap_join, point_in_ring, points_in_boxes, ring_edges
+from rasterloom.operators.overlap import boxes_overlap, points_in_boxes
+from rasterloom.operators.polygons import points_in_polygons
 from rasterloom.operators.ranking import id_rank
 from rasterloom.operators.skew import salted_join
 from rasterloom.session import materialize
@@ -18,23 +19,10 @@ def tile_of_points(points: DataFrame, boxes: DataFrame, cell: float) -> DataFram
     return points_in_boxes(points, boxes, cell, "half")
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """Envelope join first, then the exact ring test inside one expression per candidate pair."""
-    rule = point_in_ring(F.col("p_x"), F.col("p_y"), F.col("b_edges"))
-    # Edges and envelope once per polygon, not per candidate pair.
-    env = polygons.withColumns(
-        {
-            "edges": ring_edges(F.col("ring")),
-            "_ex0": F.array_min(F.transform("ring", lambda p: p["x"])),
-            "_ex1": F.array_max(F.transform("ring", lambda p: p["x"])),
-            "_ey0": F.array_min(F.transform("ring", lambda p: p["y"])),
-            "_ey1": F.array_max(F.transform("ring", lambda p: p["y"])),
-        }
-    )
-    names = {c: c[1:] for c in env.columns if c.startswith("_e")}
-    env = env.withColumnsRenamed(names).drop("ring")
-    pairs = overlap_join(points, env, ("x", "x", "y", "y"), ("ex0", "ex1", "ey0", "ey1"), rule, cell, ("p_", "b_"))
-    return pairs.drop("b_ex0", "b_ex1", "b_ey0", "b_ey1", "b_edges")
+def polygon_burn(pixels: DataFrame, zones: DataFrame, tx: Affine) -> DataFrame:
+    """Pixels whose centre lies in a polygon of ``zones`` (rings, see ``polygons``), with the zone's columns (prefix ``b_``)."""
+    hit = points_in_polygons(pixel_centres(pixels, tx), zones)
+    return hit.withColumnsRenamed({f"p_{c}": c for c in pixels.columns}).drop("p_x", "p_y")
 
 
 def set_members(points: DataFrame, sets: DataFrame, cell: float) -> DataFrame:

@@ -104,26 +104,3 @@ def boxes_overlap(left: DataFrame, right: DataFrame, cell: float, touching: bool
 def ring_edges(ring: Column) -> Column:
     """Edges of a ring given as an open array of (x, y) structs; the last vertex joins the first."""
     return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.element_at(ring, (i + 1) % F.size(ring) + 1).alias("b")))
-
-
-def point_in_ring(x: Column, y: Column, edges: Column) -> Column:
-    """Vertex or exact boundary hit, else crossing parity, over a ring's edges."""
-
-    def dist(p: Column, q_x: Column, q_y: Column) -> Column:
-        return F.sqrt((p["y"] - q_y) * (p["y"] - q_y) + (p["x"] - q_x) * (p["x"] - q_x))
-
-    def on_edge(e: Column) -> Column:
-        return dist(e["a"], x, y) + dist(e["b"], x, y) == dist(e["a"], e["b"]["x"], e["b"]["y"])
-
-    def crosses(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        at = F.try_divide((y - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"]) + a["x"]
-        return (
-            (y > F.least(a["y"], b["y"]))
-            & (y <= F.greatest(a["y"], b["y"]))
-            & (x < F.greatest(a["x"], b["x"]))
-            & (a["y"] != b["y"])
-            & ((a["x"] == b["x"]) | (x < at))
-        )
-
-    return F.exists(edges, on_edge) | (F.size(F.filter(edges, crosses)) % 2 == 1)

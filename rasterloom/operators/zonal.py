@@ -38,8 +38,12 @@ def band_means(values: DataFrame, by: list[str], first: str, last: str, step: in
 
 
 def change_between(start: DataFrame, end: DataFrame, zone: str, res: float = 30.0) -> DataFrame:
-    """Percent change relative to the end value, and area change in square kilometres."""
-    both = start.join(end, zone)
+    """Percent change relative to the end value, and area change in square kilometres, of two tables."""
+    return change(start.join(end, zone), zone, res)
+
+
+def change(both: DataFrame, zone: str, res: float = 30.0) -> DataFrame:
+    """As ``change_between``, from one table with ``start_sum`` and ``end_sum``."""
     gap = F.col("end_sum") - F.col("start_sum")
     return both.select(
         zone,
@@ -49,8 +53,12 @@ def change_between(start: DataFrame, end: DataFrame, zone: str, res: float = 30.
 
 
 def percent_error(mapped: DataFrame, reference: DataFrame, zone: str) -> DataFrame:
-    """Percent error against a reference count; zones without a finite value are dropped."""
-    both = mapped.join(reference, zone)
+    """Percent error against a reference count of two tables; zones without a finite value are dropped."""
+    return error(mapped.join(reference, zone), zone)
+
+
+def error(both: DataFrame, zone: str) -> DataFrame:
+    """As ``percent_error``, from one table with ``map_count`` and ``ref_count``."""
     err = F.try_divide(F.col("map_count") - F.col("ref_count"), F.col("ref_count")) * 100
     return both.select(zone, err.alias("pct_err")).dropna()
 

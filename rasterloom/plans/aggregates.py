@@ -10,7 +10,7 @@ from rasterloom.functions.registry import STATS, all_equal, pct_equal, row_stat,
 from rasterloom.operators import ensemble as en, joins as j, zonal as z
 from rasterloom.plans.registry import query
 from rasterloom.plans.scalars import TX
-from rasterloom.plans.spatial import CENTRE, COVER, HALF, TILE, YEARLY, cover, yearly_maps
+from rasterloom.plans.spatial import CENTRE, IN_ZONE, COVER, HALF, TILE, YEARLY, cover, yearly_maps
 
 _STD = "sqrt(CAST(count(v) * sum(v * v) - sum(v) * sum(v) AS DOUBLE)) / count(v)"
 PX = ["row", "col"]
@@ -20,13 +20,14 @@ def _std(v: str) -> str:
     return _STD.replace("(v", f"({v}").replace(" * v)", f" * {v})")
 
 
-@query("zonal_stats", "dem tiles", f"""{CENTRE},
-burnt AS (SELECT t.tile_id, CASE WHEN s.cls = 50 THEN NULL ELSE s.cls END AS v FROM px s JOIN tiles t ON {HALF}),
+@query("zonal_stats", "dem tiles zone_edges", f"""{CENTRE},
+{IN_ZONE},
+burnt AS (SELECT t.tile_id, CASE WHEN s.cls = 50 THEN NULL ELSE s.cls END AS v FROM px s JOIN zp t ON t.row = s.row AND t.col = s.col),
 m AS (SELECT tile_id, v, row_number() OVER (PARTITION BY tile_id ORDER BY count(*) DESC, v) AS k FROM burnt WHERE v IS NOT NULL GROUP BY tile_id, v)
 SELECT b.tile_id, CAST(sum(b.v) AS BIGINT) AS map_sum, count(b.v) AS map_count, min(m.v) AS map_majority, round(avg(b.v), 6) AS map_mean
 FROM burnt b JOIN m ON m.tile_id = b.tile_id AND m.k = 1 GROUP BY b.tile_id""")
 def zonal_stats(spark, d):
-    burnt = j.zone_burn(fx.dem(spark, d).select("row", "col", "cls"), fx.tiles(spark, d), TX, TILE)
+    burnt = j.polygon_burn(fx.dem(spark, d).select("row", "col", "cls"), fx.zones(spark, d), TX)
     out = z.zonal_stats(burnt.withColumnRenamed("b_tile_id", "tile_id"), "tile_id", "cls", ["sum", "count", "majority", "mean"], "map", 50)
     return out.withColumn("map_mean", F.round("map_mean", 6))
 
@@ -340,30 +341,34 @@ def area_share(spark, d):
 
 _ZONE_TWO = f"""{YEARLY},
 {CENTRE},
-zp AS (SELECT s.row, s.col, t.tile_id FROM px s JOIN tiles t ON {HALF}),
+{IN_ZONE},
 za AS (SELECT tile_id, sum((cls > 40)::INT) FILTER (yr = 1995) AS a, sum((cls > 40)::INT) FILTER (yr = 2000) AS b
   FROM maps m JOIN zp ON zp.row = m.row AND zp.col = m.col GROUP BY tile_id)"""
 
 
-def _zone_year(spark, d, year: int, source: str):
-    m = yearly_maps(spark, d).filter(F.col("yr") == year).select("row", "col", F.when(F.col("cls") > 40, 1).otherwise(0).alias("v"))
-    burnt = j.zone_burn(m, fx.tiles(spark, d), TX, TILE).withColumnRenamed("b_tile_id", "tile_id")
-    return burnt, z.zonal_stats(burnt, "tile_id", "v", ["sum"], source)
+def _zone_years(spark, d, first: int, last: int):
+    """Mapped pixels of two years per zone: the maps are laid side by side by pixel, so that zones are burnt once."""
+    m = yearly_maps(spark, d).filter(F.col("yr").isin(first, last))
+    mapped = lambda yr: F.sum(F.when(F.col("yr") == yr, (F.col("cls") > 40).cast("int")))
+    both = m.groupBy("row", "col").agg(mapped(first).alias("first"), mapped(last).alias("last"))
+    burnt = j.polygon_burn(both, fx.zones(spark, d), TX).withColumnRenamed("b_tile_id", "tile_id")
+    return burnt.groupBy("tile_id").agg(F.sum("first").alias("first_sum"), F.sum("last").alias("last_sum"))
 
 
-@query("zone_change", "dem obs tiles", f"""{_ZONE_TWO}
+@query("zone_change", "dem obs tiles zone_edges", f"""{_ZONE_TWO}
 SELECT tile_id, round(CAST(b - a AS DOUBLE) / nullif(b, 0) * 100, 6) AS pct_change, round(CAST(b - a AS DOUBLE) * 900 / 1e6, 6) AS area_change FROM za""")
 def zone_change(spark, d):
-    out = z.change_between(_zone_year(spark, d, 1995, "start")[1], _zone_year(spark, d, 2000, "end")[1], "tile_id")
+    both = _zone_years(spark, d, 1995, 2000)
+    out = z.change(both.withColumnsRenamed({"first_sum": "start_sum", "last_sum": "end_sum"}), "tile_id")
     return out.select("tile_id", F.round("pct_change", 6).alias("pct_change"), F.round("area_change", 6).alias("area_change"))
 
 
-@query("zone_pct_error", "dem obs tiles", f"""{_ZONE_TWO}
-SELECT tile_id, round(CAST(a - b AS DOUBLE) / b * 100, 6) AS pct_err FROM za WHERE b > 0""")
+@query("zone_pct_error", "dem obs tiles zone_edges", f"""{_ZONE_TWO}
+SELECT tile_id, round(CAST(a - b AS DOUBLE) / b * 100, 6) AS pct_err FROM za WHERE b > 0 AND a IS NOT NULL""")
 def zone_pct_error(spark, d):
-    mapped = _zone_year(spark, d, 1995, "map")[1].withColumnRenamed("map_sum", "map_count")
-    ref = _zone_year(spark, d, 2000, "ref")[1].withColumnRenamed("ref_sum", "ref_count")
-    return z.percent_error(mapped, ref, "tile_id").withColumn("pct_err", F.round("pct_err", 6))
+    both = _zone_years(spark, d, 1995, 2000)
+    out = z.error(both.withColumnsRenamed({"first_sum": "map_count", "last_sum": "ref_count"}), "tile_id")
+    return out.withColumn("pct_err", F.round("pct_err", 6))
 
 
 _SNOW = """snow AS (SELECT row, col, yr, min(b4) AS f, max(b4) AS l FROM obs GROUP BY row, col, yr),

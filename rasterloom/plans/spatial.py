@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom import fixtures as fx
 from rasterloom.functions import grid as g, names as nm
-from rasterloom.operators import grids, joins as j
+from rasterloom.operators import grids, joins as j, polygons as pg
 from rasterloom.operators.overlap import boxes_overlap, points_in_boxes
 from rasterloom.operators.ranking import id_rank, ordered_rank
 from rasterloom.plans.registry import query
@@ -18,6 +18,11 @@ TILE, SET = 150.0, 450.0
 HALF = "s.x >= t.ul_x AND s.x < t.lr_x AND s.y > t.lr_y AND s.y <= t.ul_y"
 AREA = """greatest(least(s.ul_x, s.lr_x), least(t.ul_x, t.lr_x)) < least(greatest(s.ul_x, s.lr_x), greatest(t.ul_x, t.lr_x))
   AND greatest(least(s.ul_y, s.lr_y), least(t.ul_y, t.lr_y)) < least(greatest(s.ul_y, s.lr_y), greatest(t.ul_y, t.lr_y))"""
+#: Polygon zones: parity of the edges that a ray to the right crosses, or a hit on an edge. Needs ``px``; gives ``zp`` (row, col, tile_id, region_id).
+IN_ZONE = """zp AS (SELECT row, col, tile_id, region_id FROM (SELECT row, col, tile_id, region_id,
+  bool_or(sqrt((y1 - y) * (y1 - y) + (x1 - x) * (x1 - x)) + sqrt((y2 - y) * (y2 - y) + (x2 - x) * (x2 - x)) = sqrt((y1 - y2) * (y1 - y2) + (x1 - x2) * (x1 - x2))) AS edge,
+  count(*) FILTER (y > least(y1, y2) AND y <= greatest(y1, y2) AND x < greatest(x1, x2) AND y1 <> y2 AND (x1 = x2 OR x < (y - y1) * (x2 - x1) / (y2 - y1) + x1)) AS n
+  FROM px, zone_edges GROUP BY ALL) WHERE edge OR n % 2 = 1)"""
 CENTRE = "px AS (SELECT *, 1e6 + (col + 0.5e0) * 30 AS x, 1200000e0 - (row + 0.5e0) * 30 AS y FROM dem)"
 
 
@@ -46,7 +51,7 @@ SELECT obs_pt, set_id FROM t WHERE edge OR n % 2 = 1""")
 def join_point_polygon(spark, d):
     s = fx.sets(spark, d)
     ring = F.array(*[F.struct((F.col(x) + dx).alias("x"), (F.col(y) + dy).alias("y")) for x, dx, y, dy in _RING])
-    hit = j.points_in_polygons(fx.samples(spark, d).select("obs_pt", "x", "y"), s.select("set_id", ring.alias("ring")), SET)
+    hit = pg.points_in_polygons(fx.samples(spark, d).select("obs_pt", "x", "y"), s.select("set_id", ring.alias("ring")))
     return hit.select(F.col("p_obs_pt").alias("obs_pt"), F.col("b_set_id").alias("set_id"))
 
 
@@ -158,21 +163,23 @@ def mosaic_fill(spark, d):
     return j.mosaic_fill(ids, data, -9999)
 
 
-@query("zone_burn", "dem tiles", f"""{CENTRE}
+@query("zone_burn", "dem tiles zone_edges", f"""{CENTRE},
+{IN_ZONE}
 SELECT s.row, s.col, coalesce(t.tile_id, 255) AS zone, CASE WHEN t.tile_id IS NULL THEN 0 ELSE 1 END AS mask
-FROM px s LEFT JOIN tiles t ON {HALF}""")
+FROM px s LEFT JOIN zp t ON t.row = s.row AND t.col = s.col""")
 def zone_burn(spark, d):
     px = fx.dem(spark, d).select("row", "col")
-    burnt = j.zone_burn(px, fx.tiles(spark, d), TX, TILE).select("row", "col", F.col("b_tile_id").alias("zone"))
+    burnt = j.polygon_burn(px, fx.zones(spark, d), TX).select("row", "col", F.col("b_tile_id").alias("zone"))
     out = px.join(burnt, ["row", "col"], "left")
     return out.select("row", "col", F.coalesce("zone", F.lit(255)).alias("zone"), F.col("zone").isNotNull().cast("int").alias("mask"))
 
 
-@query("clip_to_zone", "dem tiles", f"""{CENTRE}
-SELECT s.row, s.col, s.v FROM px s WHERE EXISTS (SELECT 1 FROM tiles t WHERE t.region_id = 1 AND {HALF})""")
+@query("clip_to_zone", "dem tiles zone_edges", f"""{CENTRE},
+{IN_ZONE}
+SELECT s.row, s.col, s.v FROM px s WHERE EXISTS (SELECT 1 FROM zp t WHERE t.region_id = 1 AND t.row = s.row AND t.col = s.col)""")
 def clip_to_zone(spark, d):
-    px, zones = fx.dem(spark, d).select("row", "col", "v"), fx.tiles(spark, d).filter("region_id = 1")
-    inside = j.zone_burn(px.select("row", "col"), zones, TX, TILE).select("row", "col")
+    px, zones = fx.dem(spark, d).select("row", "col", "v"), fx.zones(spark, d).filter("region_id = 1")
+    inside = j.polygon_burn(px.select("row", "col"), zones, TX).select("row", "col")
     return px.join(inside, ["row", "col"], "left_semi")
 
 

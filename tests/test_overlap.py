@@ -5,7 +5,8 @@ import random
 from helpers import rows
 from pyspark.sql import functions as F
 
-from rasterloom.operators.joins import last_overlap, nearest_value, points_in_polygons
+from rasterloom.operators.joins import last_overlap, nearest_value
+from rasterloom.operators.polygons import points_in_polygons
 from rasterloom.operators.overlap import boxes_overlap, points_in_boxes
 
 BOX = "id long, ul_x double, ul_y double, lr_x double, lr_y double"
@@ -79,7 +80,7 @@ def test_polygon_rules(spark):
     pts = {1: (0, 0), 2: (5, 0), 3: (5, 4), 4: (5, 6), 5: (9, 8), 6: (11, 1), 7: (10, 4), 8: (1, 8)}
     p = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in pts.items()], "pt long, x double, y double")
     # 1 is a vertex, 2 and 7 lie on edges, 4 is in the notch, 6 is outside.
-    assert [r[0] for r in rows(points_in_polygons(p, poly, 10.0), "p_pt")] == [1, 2, 3, 5, 7, 8]
+    assert [r[0] for r in rows(points_in_polygons(p, poly), "p_pt")] == [1, 2, 3, 5, 7, 8]
 
 
 def test_nearest_value_crosses_empty_buckets(spark):
@@ -89,3 +90,45 @@ def test_nearest_value_crosses_empty_buckets(spark):
     right = spark.createDataFrame([(c,) for c in coords], "c double")
     got = {r["i"]: r["v_snapped"] for r in nearest_value(left, "v", right, "c", 25.0).collect()}
     assert got == {i: min(coords, key=lambda c: (abs(c - v), c)) for i, v in enumerate(values)}
+
+
+def _inside(x, y, rings):
+    """Plain ray casting over all rings, edges included."""
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return True
+            if min(y1, y2) < y <= max(y1, y2) and x < max(x1, x2) and (x1 == x2 or x < (y - y1) * (x2 - x1) / (y2 - y1) + x1):
+                odd = not odd
+    return odd
+
+
+def test_polygons_with_holes_and_parts(spark):
+    """Wild rings of very different sizes, holes, parts, a degenerate ring, and repeated points."""
+    import math
+
+    r = random.Random(6)
+    polygons = {}
+    for k, (n, size) in enumerate([(3, 4), (7, 40), (60, 300), (400, 90), (12, 2000)]):
+        cx, cy = r.randint(-50, 50), r.randint(-50, 50)
+        star = lambda f: [
+            (float(round(cx + f * size * r.uniform(0.3, 1) * math.cos(2 * math.pi * i / n))), float(round(cy + f * size * r.uniform(0.3, 1) * math.sin(2 * math.pi * i / n))))
+            for i in range(n)
+        ]
+        polygons[k] = [star(1.0), star(0.25), [(x + 5.5 * size, y) for x, y in star(0.5)]]
+    polygons[5] = [[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)], [(2.0, 2.0), (6.0, 2.0), (6.0, 6.0), (2.0, 6.0)], [(3.0, 3.0), (5.0, 3.0), (4.0, 3.0)]]
+    rows_in = [(k, [{"x": x, "y": y} for x, y in ring]) for k, rings in polygons.items() for ring in rings] + [(6, None), (7, [])]
+    pts = [(float(r.randint(-120, 400)), float(r.randint(-120, 120))) for _ in range(700)] + [(r.uniform(-30, 30), r.uniform(-30, 30)) for _ in range(200)]
+    pts += [(4.0, 3.0), (2.0, 2.0), (8.0, 8.0), (4.0, 4.0), (8.0, 4.0)] + [v for rings in polygons.values() for ring in rings for v in ring[:5]]
+    pts = [(i, *p) for i, p in enumerate(pts)] + [(3, *pts[3])] * 2
+    poly = spark.createDataFrame(rows_in, "id long, ring array<struct<x: double, y: double>>")
+    got = rows(points_in_polygons(spark.createDataFrame(pts + [(-1, None, 1.0)], "pt long, x double, y double"), poly), "p_pt", "b_id")
+    assert got == sorted((i, k) for i, x, y in pts for k, rings in polygons.items() if _inside(x, y, rings))
+
+
+def test_candidate_pairs_hold_no_ring(spark):
+    ring = [{"x": float(x), "y": float(y)} for x, y in [(0, 0), (90, 0), (90, 90), (40, 20)]]
+    poly = spark.createDataFrame([(1, ring)], "id long, ring array<struct<x: double, y: double>>")
+    hit = points_in_polygons(spark.range(50).select(F.col("id").alias("pt"), (F.col("id") * 1.0).alias("x"), (F.col("id") * 2.0).alias("y")), poly)
+    assert "ring" not in hit._jdf.queryExecution().executedPlan().toString()
