@@ -258,8 +258,10 @@ SQL: dict[str, str] = {
 
 
 def with_views(names: str, body: str) -> str:
-    """Oracle SQL: the named derived tables as CTEs, then ``body`` (a SELECT or further CTEs)."""
+    """Oracle SQL: the named derived tables as CTEs, then ``body`` (a SELECT or further CTEs, after the word RECURSIVE if they are)."""
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in names.split())
-    body = body.strip()
+    body, head = body.strip(), "WITH"
+    if body.startswith("RECURSIVE "):
+        body, head = body.removeprefix("RECURSIVE ").strip(), "WITH RECURSIVE"
     joiner = "\n" if body.upper().startswith("SELECT") else ",\n"
-    return f"WITH {ctes}{joiner}{body}"
+    return f"{head} {ctes}{joiner}{body}"

@@ -52,6 +52,52 @@ def votes(preds: DataFrame, value: str = "pred") -> DataFrame:
     return out.filter("vote IS NOT NULL")
 
 
+#: Statistics of predictions that a caller may name.
+AGG_STATS = ("mean", "vote", "median", "stdv", "pct_vote", "importance", "oob", "count")
+
+
+def aggregate(preds: DataFrame, names: list[str], value: str = "pred", oob: str = "oob_rate", importances: list[str] = ()) -> DataFrame:
+    """The named statistics (``AGG_STATS``) per pixel over the predictions of the sets that cover it.
+
+    ``oob`` is the mean score of these sets, ``importance`` the number of the predictor that is most important on their average (first on ties).
+    Members without a prediction do not count; a pixel without any is left out.
+    """
+    unknown = [n for n in names if n not in AGG_STATS]
+    if unknown:
+        raise ValueError(f"unknown statistics {unknown}; available: {', '.join(AGG_STATS)}")
+    seen = preds.filter(F.col(value).isNotNull())
+    build = simple_stats(seen, value)
+    if "oob" in names:
+        build["oob"] = F.bround(F.avg(oob)).cast("int")
+    if "importance" in names:
+        build["importance"] = argmax_index([F.avg(c) for c in importances])
+    plain = [build[n].alias(n) for n in names if n in build]
+    out = seen.groupBy(*PIXEL).agg(*plain) if plain else None
+    if {"vote", "pct_vote"} & set(names):
+        voted = votes(seen, value).select(*PIXEL, *[n for n in ("vote", "pct_vote") if n in names])
+        out = voted if out is None else out.join(voted, PIXEL)
+    return out.select(*PIXEL, *names)
+
+
+def _moments(v: Column, n: Column, whole: bool) -> tuple[Column, Column]:
+    """Mean and population deviation of values counted ``n`` times.
+
+    Sums of whole numbers are exact longs whose products are taken as decimals; groups whose sums pass a long take doubles.
+    """
+    real, count = v.cast("double"), F.sum(n)
+    s, q = F.sum(n * real), F.sum(n * real * real)
+    gap, total = count * q - s * s, s
+    if whole:
+        s, q = F.try_sum(F.try_multiply(n, v)), F.try_sum(F.try_multiply(n, F.try_multiply(v, v)))
+        wide = lambda c: c.cast("decimal(19,0)")
+        # a sum that passed a long is NULL, and so is one that skipped an overflowing product
+        safe = F.count_if(v.isNotNull() & F.try_multiply(n, F.try_multiply(v, v)).isNull()) == 0
+        gap = F.coalesce(F.when(safe, F.try_subtract(wide(count) * wide(q), wide(s) * wide(s)).cast("double")), gap)
+        total = F.coalesce(F.when(safe, s.cast("double")), total)
+    count = count.cast("double")
+    return F.try_divide(total, count), F.try_divide(F.sqrt(F.greatest(gap, F.lit(0.0))), count)
+
+
 def aggregate_stored(preds: DataFrame, value: str, nodata: int = -9999) -> DataFrame:
     """Statistics of stored predictions: NULL-aware, truncated to integers at the end, nodata where no member has data.
 
@@ -60,10 +106,11 @@ def aggregate_stored(preds: DataFrame, value: str, nodata: int = -9999) -> DataF
     counts = class_counts(preds, value)
     small = _is_int(counts, "v")
     v, n = F.col("v").cast("long" if small else "double"), F.when(F.col("v").isNotNull(), F.col("n"))
-    count, s, q = F.sum(n), F.sum(n * v), F.sum(n * v * v)
+    count = F.sum(n)
+    mean, stdv = _moments(v, n, small)
     stats = {
-        "mean": F.try_divide(s, count),
-        "stdv": F.try_divide(F.sqrt(F.greatest((count * q - s * s).cast("double"), F.lit(0.0))), count.cast("double")),
+        "mean": mean,
+        "stdv": stdv,
         "count": count,
         "vote": _top_class(small)[0],
     }
@@ -71,9 +118,9 @@ def aggregate_stored(preds: DataFrame, value: str, nodata: int = -9999) -> DataF
     return out.select(*PIXEL, *[F.coalesce(F.col(k).cast("int"), F.lit(nodata)).alias(k) for k in stats])
 
 
-def argmax_index(cols: list[str]) -> Column:
+def argmax_index(cols: list[str | Column]) -> Column:
     """0-based position of the largest value, first on ties."""
-    a = F.array(*[F.col(c) for c in cols])
+    a = F.array(*[F.col(c) if isinstance(c, str) else c for c in cols])
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 

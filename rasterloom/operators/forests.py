@@ -1,68 +1,115 @@
-"""Random forests and grid search on Spark ML."""
+"""Random forests on the tree trainer: every tree is a set, so a forest grows in the same passes as one tree.
+
+A row's weight in a tree is how often a bootstrap of the table's size would draw it, a Poisson number with mean 1 taken from the md5 of
+(seed, tree, row key). So bags need no shuffle, any program can repeat them, and a row is out of bag where its weight is 0.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import Model
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+import math
 
+from pyspark.sql import Column, DataFrame, functions as F
 
-def with_vector(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features").transform(df)
+from rasterloom.operators.ranking import hash_key
+from rasterloom.operators.trees import grow, predict
+from rasterloom.session import materialize
 
+#: P(Poisson(1) <= k): beyond the last one the chance is below that of the hash.
+STEPS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
 
-def _options(trees: int, max_features: str, max_depth: int, min_leaf: int, seed: int) -> dict:
-    return dict(
-        labelCol="label", numTrees=trees, featureSubsetStrategy=max_features, maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed,
-        maxBins=64,
-    )
 
+def with_bags(df: DataFrame, key: str, trees: int, seed: str = "forest") -> DataFrame:
+    """Each row once per tree (``set_id`` 0 .. trees - 1) with its weight ``w``; rows without a key are not used."""
+    spread = df.filter(F.col(key).isNotNull()).withColumn("set_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trees - 1).cast("bigint"))))
+    u = F.conv(F.substring(hash_key(seed, "set_id", key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    times = F.lit(0)
+    for step in STEPS:
+        times = times + (u > F.lit(step)).cast("int")
+    return spread.withColumn("w", times)
 
-def fit_classifier(df: DataFrame, features: list[str], trees: int = 50, max_features: str = "auto", max_depth: int = 10, min_leaf: int = 1, seed: int = 0) -> Model:
-    return RandomForestClassifier(**_options(trees, max_features, max_depth, min_leaf, seed)).fit(with_vector(df, features))
 
+def fit(
+    df: DataFrame, key: str, features: list[str], label: str, classes: list | None, trees: int = 50, max_features: int | None = None,
+    max_depth: int | None = None, min_leaf: float = 1, seed: str = "forest",
+) -> DataFrame:
+    """Node table of a forest: a classifier with ``classes``, else a regressor; rows without a label are not used."""
+    bag = with_bags(df.withColumn("y", F.col(label)), key, trees, seed).filter("w > 0").select("set_id", "y", "w", *features)
+    return materialize(grow(bag, features, classes, max_depth, min_leaf, max_features, seed), "forest")
 
-def fit_regressor(df: DataFrame, features: list[str], trees: int = 50, max_features: str = "auto", max_depth: int = 10, min_leaf: int = 1, seed: int = 0) -> Model:
-    return RandomForestRegressor(**_options(trees, max_features, max_depth, min_leaf, seed)).fit(with_vector(df, features))
 
+def _trees_of(rows: DataFrame, key: str, features: list[str], trees: int, seed: str, out_of_bag: bool) -> DataFrame:
+    spread = with_bags(rows.select(key, *features), key, trees, seed)
+    return (spread.filter("w = 0") if out_of_bag else spread).drop("w")
 
-def apply_model(model: Model, df: DataFrame, features: list[str]) -> DataFrame:
-    """Fitted model over predictor rows; adds ``prediction``."""
-    return model.transform(with_vector(df, features)).drop("features", "rawPrediction", "probability")
 
+def apply(
+    nodes: DataFrame, rows: DataFrame, key: str, features: list[str], classes: list | None, trees: int, seed: str = "forest", out_of_bag: bool = False
+) -> DataFrame:
+    """Adds ``prediction`` and ``n_trees``: the class of the largest mean leaf share (first on ties), or the mean of the trees.
 
-def fit_zero_inflated(df: DataFrame, features: list[str], trees: int = 50, max_depth: int = 10, seed: int = 0) -> tuple[Model, Model]:
-    presence = df.withColumn("label", (F.col("label") != 0).cast("double"))
-    return fit_classifier(presence, features, trees, max_depth=max_depth, seed=seed), fit_regressor(df, features, trees, max_depth=max_depth, seed=seed)
+    ``out_of_bag`` asks only the trees that did not see a row; where there is none the prediction is NULL. ``key`` names rows apart.
+    """
+    preds = predict(_trees_of(rows, key, features, trees, seed, out_of_bag), nodes, features, shares=classes is not None)
+    n = F.count("pred").alias("n_trees")
+    if classes is None:
+        out = preds.groupBy(key).agg(F.avg("pred").alias("prediction"), n)
+    else:
+        means = preds.groupBy(key).agg(*[F.avg(F.col("shares")[i]).alias(f"_p{i}") for i in range(len(classes))], n)
+        best = F.array_max(F.array(*[F.struct(F.round(f"_p{i}", 12).alias("p"), F.lit(-i).alias("i"), F.lit(float(c)).alias("v")) for i, c in enumerate(classes)]))
+        out = means.select(key, F.when(F.col("_p0").isNotNull(), best["v"]).alias("prediction"), "n_trees")
+    return rows.join(out, key, "left").withColumn("n_trees", F.coalesce("n_trees", F.lit(0)))
+
+
+def fit_zero_inflated(
+    df: DataFrame, key: str, features: list[str], label: str, trees: int = 50, max_features: int | None = None, max_depth: int | None = None,
+    min_leaf: float = 1, seed: str = "forest",
+) -> tuple[DataFrame, DataFrame]:
+    """A bag of zero-inflated trees: for each bag a classifier of label <> 0 and a regressor, on the same rows."""
+    presence = df.withColumn(label, (F.col(label) != 0).cast("int"))
+    options = dict(trees=trees, max_features=max_features, max_depth=max_depth, min_leaf=min_leaf, seed=seed)
+    return fit(presence, key, features, label, [0, 1], **options), fit(df, key, features, label, None, **options)
+
+
+def apply_zero_inflated(
+    models: tuple[DataFrame, DataFrame], rows: DataFrame, key: str, features: list[str], trees: int, seed: str = "forest", out_of_bag: bool = False
+) -> DataFrame:
+    """Adds ``prediction``, the mean over the bags of class times value, and ``n_trees``."""
+    some = predict(_trees_of(rows, key, features, trees, seed, out_of_bag), models[0], features).withColumnRenamed("pred", "_some")
+    both = predict(some, models[1], features)
+    out = both.groupBy(key).agg(F.avg(F.col("_some") * F.col("pred")).alias("prediction"), F.count("pred").alias("n_trees"))
+    return rows.join(out, key, "left").withColumn("n_trees", F.coalesce("n_trees", F.lit(0)))
 
 
-def apply_zero_inflated(models: tuple[Model, Model], df: DataFrame, features: list[str]) -> DataFrame:
-    some = apply_model(models[0], df, features).withColumnRenamed("prediction", "_some")
-    return apply_model(models[1], some, features).withColumn("prediction", F.col("_some") * F.col("prediction")).drop("_some")
+def score(out: DataFrame, label: str, classes: list | None) -> DataFrame:
+    """Out-of-bag score of predictions: n and accuracy, or n and R squared. Rows without a prediction take no part."""
+    seen = out.filter(F.col("prediction").isNotNull() & F.col(label).isNotNull())
+    y, p = F.col(label).cast("double"), F.col("prediction")
+    if classes is not None:
+        return seen.agg(F.count(F.lit(1)).alias("n"), F.avg((y == p).cast("double")).alias("oob_score"))
+    rest: Column = F.sum((y - p) * (y - p))
+    return seen.agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(rest, F.var_pop(y) * F.count(F.lit(1)))).alias("oob_score"))
 
 
 def grid_search(
-    df: DataFrame, features: list[str], fold: str, max_features: list[str], min_leaf: list[int], trees: int = 1000, max_depth: int = 10, seed: int = 0,
-    parallelism: int = 4,
+    df: DataFrame, key: str, features: list[str], label: str, classes: list, fold: str, max_features: list[int], min_leaf: list[int], trees: int = 1000,
+    seed: str = "grid",
 ) -> DataFrame:
-    """Mean and standard deviation of accuracy over the given folds, per parameter pair; ``rank`` 1 is best.
+    """Mean and standard deviation of the accuracy over the folds, per parameter pair; ``rank`` 1 is best, ties go to the first pair.
 
-    Only the table of parameter pairs passes through the driver.
+    A forest per fold and pair; only the table of parameter pairs passes through the driver.
     """
-    rf = RandomForestClassifier(**_options(trees, "auto", max_depth, 1, seed))
-    grid = ParamGridBuilder().addGrid(rf.featureSubsetStrategy, max_features).addGrid(rf.minInstancesPerNode, min_leaf).build()
-    k = df.select(F.max(fold)).first()[0] + 1
-    cv = CrossValidator(
-        estimator=rf, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label"),
-        numFolds=k, foldCol=fold, parallelism=parallelism, seed=seed,
-    ).fit(with_vector(df, features))
-    order = sorted(range(len(grid)), key=lambda i: (-cv.avgMetrics[i], i))
-    rows = [
-        (grid[i][rf.featureSubsetStrategy], grid[i][rf.minInstancesPerNode], float(cv.avgMetrics[i]), float(cv.stdMetrics[i]), rank + 1)
-        for rank, i in enumerate(order)
-    ]
-    return df.sparkSession.createDataFrame(rows, "max_features string, min_leaf int, mean_accuracy double, std_accuracy double, rank int")
+    df = materialize(df, "folded")
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    rows = []
+    for m in max_features:
+        for leaf in min_leaf:
+            got = []
+            for k in folds:
+                nodes = fit(df.filter(F.col(fold) != k), key, features, label, classes, trees, m, None, leaf, f"{seed}{k}")
+                out = apply(nodes, df.filter(F.col(fold) == k), key, features, classes, trees, f"{seed}{k}")
+                got.append(score(out, label, classes).first()["oob_score"])
+            mean = sum(got) / len(got)
+            rows.append((m, leaf, mean, math.sqrt(sum((g - mean) ** 2 for g in got) / len(got))))
+    order = sorted(range(len(rows)), key=lambda i: (-rows[i][2], i))
+    ranked = [(*rows[i], place + 1) for place, i in enumerate(order)]
+    return df.sparkSession.createDataFrame(ranked, "max_features int, min_leaf int, mean_accuracy double, std_accuracy double, rank int")

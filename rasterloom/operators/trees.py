@@ -1,46 +1,47 @@
-"""Thousands of local decision trees grown together, level by level, as DataFrame aggregations.
+"""Thousands of decision trees grown together on raw predictors, without a depth cap.
 
-The published idea (PLANET, Panda et al. 2009): per level one histogram over (set, node, feature, bin), prefix sums over
-at most 64 bins, the best split per node, and one join that moves the samples down. The number of jobs depends on the
-depth, not on the number of sets.
+As published (PLANET, Panda et al. 2009) growth has two phases. Nodes of more than ``FINISH_ROWS`` rows are split level by level as DataFrame
+aggregations: bins are quantiles of the node itself, so they get finer on the way down, one histogram goes over (set, node, feature, bin), and
+prefix sums over at most ``BINS`` bins give the best split. A node that fits is handed to one task, which grows the whole subtree below
+it exactly, on all values. Thresholds are real numbers halfway between the values on either side.
+
+A node is named by its path: ``1`` is the root, and a left child appends 0, a right one 1. Ties go to the lowest feature, then to the lowest
+threshold. With ``max_features`` each node looks at those features whose md5 of (seed, set, node, feature) is smallest, a draw that any other
+program can repeat. Sets with a NULL or NaN predictor are left out, rows without a target are not used.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rasterloom.session import materialize
+from rasterloom.session import materialize, share_package
 
 SET = ["set_id"]
 NODE = ["set_id", "node_id"]
-MAX_BINS = 64
-
-
-def quantise(df: DataFrame, features: list[str], bins: int = MAX_BINS) -> tuple[DataFrame, DataFrame]:
-    """Replace each feature by its bin number; also the one-row table of bin edges.
-
-    Edges are approximate quantiles of the whole table from a single aggregation; a value's bin is the number of edges below it.
-    """
-    shares = [i / bins for i in range(1, bins)]
-    edges = df.agg(*[F.array_distinct(F.percentile_approx(F.col(f).cast("double"), shares, 10000)).alias(f) for f in features])
-    row = edges.select(F.struct(*features)).scalar()
-    tagged = df.withColumn("_edges", row)
-
-    def bin_of(f: str) -> Column:
-        return F.size(F.filter(F.col(f"_edges.{f}"), lambda e: e < F.col(f))).cast("int")
+#: Rows of a node that one task may finish, and bins of a larger one.
+FINISH_ROWS, BINS = 200_000, 256
+#: Rows of a set that one task predicts, and nodes of a tree that it may hold for that.
+PREDICT_ROWS, PREDICT_NODES = 500_000, 2_000_000
 
-    return tagged.withColumns({f: bin_of(f) for f in features}).drop("_edges"), edges
+NODES = (
+    "set_id bigint, node_id string, feature int, threshold double, left string, right string, "
+    "prediction double, n bigint, impurity double, gain double, shares array<double>"
+)
 
 
 def _measures(classes: list | None) -> dict[str, Column]:
-    """Additive statistics of a group of samples: class counts, or sum and sum of squares."""
-    n = {"n": F.count(F.lit(1))}
+    """Additive statistics of a group of samples: weighted class counts, or sum and sum of squares."""
+    n = {"n": F.sum("w")}
     if classes is None:
         y = F.col("y").cast("double")
-        return n | {"s": F.sum(y), "q": F.sum(y * y)}
-    return n | {f"c{i}": F.count_if(F.col("y") == c) for i, c in enumerate(classes)}
+        return n | {"s": F.sum(F.col("w") * y), "q": F.sum(F.col("w") * y * y)}
+    return n | {f"c{i}": F.sum(F.when(F.col("y") == c, F.col("w")).otherwise(0)) for i, c in enumerate(classes)}
 
 
 def _score(get: Callable[[str], Column], classes: list | None) -> Column:
@@ -55,78 +56,177 @@ def _score(get: Callable[[str], Column], classes: list | None) -> Column:
     return F.try_divide(total, n)
 
 
-def _prediction(classes: list | None) -> Column:
-    if classes is None:
-        return F.col("s") / F.col("n")
-    best = F.array_max(F.array(*[F.struct(F.col(f"c{i}").alias("n"), F.lit(-i).alias("i"), F.lit(float(c)).alias("v")) for i, c in enumerate(classes)]))
-    return best["v"]
-
-
-def _impurity(classes: list | None) -> Column:
+def _described(stats: DataFrame, classes: list | None) -> DataFrame:
+    """Adds prediction, impurity and class shares from the measures."""
     n = F.col("n").cast("double")
     if classes is None:
-        return F.greatest(F.col("q") / n - (F.col("s") / n) * (F.col("s") / n), F.lit(0.0))
-    return 1 - _score(F.col, classes) / n
-
-
-def _best_splits(rows: DataFrame, features: list[str], names: list[str], classes: list | None) -> DataFrame:
-    """Per node the split with the best score; ties go to the lowest feature, then the lowest bin."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f).cast("int").alias("bin")) for i, f in enumerate(features)])
-    long = rows.select(*NODE, "y", "min_leaf", F.explode(pairs).alias("_p")).select(*NODE, "y", "min_leaf", "_p.*")
-    hist = long.groupBy(*NODE, "feature", "bin").agg(*[c.alias(k) for k, c in _measures(classes).items()], F.max("min_leaf").alias("min_leaf"))
-    part = W.partitionBy(*NODE, "feature")  # at most MAX_BINS rows
+        spread = F.greatest(F.col("q") / n - (F.col("s") / n) * (F.col("s") / n), F.lit(0.0))
+        return stats.select("*", (F.col("s") / n).alias("prediction"), spread.alias("impurity"), F.lit(None).cast("array<double>").alias("shares"))
+    best = F.array_max(F.array(*[F.struct(F.col(f"c{i}").alias("n"), F.lit(-i).alias("i"), F.lit(float(c)).alias("v")) for i, c in enumerate(classes)]))
+    shares = F.array(*[F.col(f"c{i}") / n for i in range(len(classes))])
+    return stats.select("*", best["v"].alias("prediction"), (1 - _score(F.col, classes) / n).alias("impurity"), shares.alias("shares"))
+
+
+def drawn(seed: str, set_id: int, node_id: str, k: int, most: int | None) -> list[int]:
+    """The features that a node looks at."""
+    if most is None or most >= k:
+        return list(range(k))
+    return sorted(sorted(range(k), key=lambda f: hashlib.md5(f"{seed}|{set_id}|{node_id}|{f}".encode()).hexdigest())[:most])
+
+
+def _level(rows: DataFrame, features: list[str], classes: list | None, seed: str, most: int | None) -> DataFrame:
+    """Best split of each (large) node: feature, threshold, gain."""
+    names = list(_measures(classes))
+    marks = [i / BINS for i in range(1, BINS)]
+    edges = rows.groupBy(*NODE).agg(F.array(*[F.array_distinct(F.percentile_approx(F.col(f), marks, 4 * BINS)) for f in features]).alias("_edges"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f).alias("v")) for i, f in enumerate(features)])
+    if most is not None and most < len(features):
+        hashed = lambda p: F.md5(F.concat_ws("|", F.lit(seed), F.col("set_id").cast("string"), F.col("node_id"), p["feature"].cast("string")))
+        ranked = F.array_sort(F.transform(pairs, lambda p: F.struct(hashed(p).alias("h"), p["feature"].alias("feature"), p["v"].alias("v"))))
+        pairs = F.transform(F.slice(ranked, 1, most), lambda p: F.struct(p["feature"].alias("feature"), p["v"].alias("v")))
+    long = rows.join(edges, NODE).select(*NODE, "y", "w", "min_leaf", "_edges", F.explode(pairs).alias("_p")).select(*NODE, "y", "w", "min_leaf", "_p.*", "_edges")
+    cut = F.size(F.filter(F.element_at("_edges", F.col("feature") + 1), lambda e: e < F.col("v")))
+    ends = {"low": F.min("v"), "high": F.max("v"), "min_leaf": F.max("min_leaf")}
+    hist = long.withColumn("bin", cut).groupBy(*NODE, "feature", "bin").agg(*[c.alias(k) for k, c in (_measures(classes) | ends).items()])
+    part = W.partitionBy(*NODE, "feature")  # at most BINS rows
     upto = part.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     hist = hist.withColumns({f"l_{m}": F.sum(m).over(upto) for m in names} | {f"t_{m}": F.sum(m).over(part) for m in names})
+    middle = (F.col("high") + F.lead("low").over(part.orderBy("bin"))) / 2
+    hist = hist.withColumn("threshold", middle)
     left = _score(lambda m: F.col(f"l_{m}"), classes)
     right = _score(lambda m: F.col(f"t_{m}") - F.col(f"l_{m}"), classes)
     whole = _score(lambda m: F.col(f"t_{m}"), classes)
-    hist = hist.filter((F.col("l_n") >= F.col("min_leaf")) & (F.col("t_n") - F.col("l_n") >= F.col("min_leaf")))
-    hist = hist.select(*NODE, "feature", "bin", (left + right).alias("score"), whole.alias("whole"))
+    hist = hist.filter((F.col("l_n") >= F.col("min_leaf")) & (F.col("t_n") - F.col("l_n") >= F.col("min_leaf")) & F.col("threshold").isNotNull())
+    hist = hist.select(*NODE, "feature", "threshold", (left + right).alias("score"), whole.alias("whole"))
     hist = hist.filter(F.col("score") - F.col("whole") > 1e-9 * F.greatest(F.abs("whole"), F.lit(1.0)))
-    best = F.max(F.struct("score", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), "whole"))
+    best = F.max(F.struct("score", (-F.col("feature")).alias("f"), (-F.col("threshold")).alias("t"), "whole"))
     return hist.groupBy(*NODE).agg(best.alias("_s")).select(
-        *NODE, (-F.col("_s.f")).alias("feature"), (-F.col("_s.b")).alias("bin"), (F.col("_s.score") - F.col("_s.whole")).alias("gain")
+        *NODE, (-F.col("_s.f")).alias("feature"), (-F.col("_s.t")).alias("threshold"), (F.col("_s.score") - F.col("_s.whole")).alias("gain")
     )
 
 
-def grow(bag: DataFrame, features: list[str], classes: list | None, max_depth: int = 8, min_leaf: float = 0.005) -> DataFrame:
-    """Node table of one tree per set.
-
-    ``bag`` holds (set_id, y, binned features). ``classes`` lists the labels of a classifier, None grows
-    regression trees. Nodes are numbered like a heap: the children of i are 2i and 2i + 1; ``bin`` splits
-    by ``feature <= bin``. No leaf holds less than ``ceil(min_leaf * n)`` of its set's samples.
+def subtree(x: np.ndarray, y: np.ndarray, w: np.ndarray, root: str, set_id: int, classes: list | None, leaf: float, depth: int | None, seed: str, most: int | None) -> Iterator[tuple]:
+    """Node rows of the exact tree below ``root``; all nodes of a level are split in one pass over sorted columns."""
+    m = np.stack([w * (y == c) for c in classes], axis=1) if classes is not None else np.stack([w * y, w * y * y], axis=1)
+    score = (lambda c, n: (c * c).sum(axis=1) / n) if classes is not None else (lambda c, n: c[:, 0] * c[:, 0] / n)
+    names, node = [root], np.zeros(len(x), np.int64)
+    level = 0
+    while names:
+        size = np.bincount(node, w, len(names))
+        total = np.stack([np.bincount(node, m[:, j], len(names)) for j in range(m.shape[1])], axis=1)
+        whole = score(total, size)
+        best = np.full(len(names), -np.inf)
+        feature, threshold = np.full(len(names), -1), np.zeros(len(names))
+        if depth is None or level < depth:
+            sees = np.zeros((len(names), x.shape[1]), bool)
+            for a, name in enumerate(names):
+                sees[a, drawn(seed, set_id, name, x.shape[1], most)] = True
+            for f in range(x.shape[1]):
+                order = np.lexsort((x[:, f], node))
+                v, at = x[order, f], node[order]
+                n_left, c_left = np.cumsum(w[order]), np.cumsum(m[order], axis=0)
+                first = np.searchsorted(at, np.arange(len(names)))
+                n_left = n_left - np.where(first > 0, n_left[first - 1], 0)[at]
+                c_left = c_left - np.where((first > 0)[:, None], c_left[first - 1], 0)[at]
+                ok = np.flatnonzero((at[:-1] == at[1:]) & (v[:-1] < v[1:]) & sees[at[:-1], f] & (n_left[:-1] >= leaf) & (size[at[:-1]] - n_left[:-1] >= leaf))
+                if not len(ok):
+                    continue
+                here = at[ok]
+                got = score(c_left[ok], n_left[ok]) + score(total[here] - c_left[ok], size[here] - n_left[ok])
+                start = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+                top = np.maximum.reduceat(got, start)
+                own = here[start]
+                # the first place of each node's best score, so the lowest threshold
+                place = ok[start + _first_of(got == np.repeat(top, np.diff(np.append(start, len(ok)))), start)]
+                better = (top > best[own]) & (top - whole[own] > 1e-9 * np.maximum(np.abs(whole[own]), 1))
+                own, place = own[better], place[better]
+                best[own], feature[own] = top[better], f
+                middle = (v[place] + v[place + 1]) / 2
+                threshold[own] = np.where(middle < v[place + 1], middle, v[place])
+        inner = feature >= 0
+        for a, name in enumerate(names):
+            if classes is not None:
+                share = (total[a] / size[a]).tolist()
+                value, impurity = float(classes[int(np.argmax(total[a]))]), 1 - whole[a] / size[a]
+            else:
+                share, value = None, total[a, 0] / size[a]
+                impurity = max(total[a, 1] / size[a] - value * value, 0.0)
+            pick = (int(feature[a]), float(threshold[a]), f"{name}0", f"{name}1") if inner[a] else (None,) * 4
+            yield (set_id, name, *pick, float(value), int(size[a]), float(impurity), float(best[a] - whole[a]) if inner[a] else 0.0, share)
+        keep = inner[node]
+        x, y, w, m, node = x[keep], y[keep], w[keep], m[keep], node[keep]
+        go = x[np.arange(len(x)), feature[node]] > threshold[node]
+        number = np.cumsum(inner) - 1
+        node = 2 * number[node] + go
+        names = [n + side for n, i in zip(names, inner) if i for side in "01"]
+        level += 1
+
+
+def _first_of(hit: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Offset of the first hit in each run that begins at ``start``; every run has one."""
+    at = np.flatnonzero(hit)
+    return at[np.searchsorted(at, start)] - start
+
+
+def _finish(features: list[str], classes: list | None, depth: int | None, seed: str, most: int | None):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        set_id, root = key[0].as_py(), key[1].as_py()
+        x = np.stack([table.column(f).to_numpy() for f in features], axis=1).astype(np.float64)
+        y, w = (table.column(c).to_numpy().astype(np.float64) for c in ("y", "w"))
+        left = None if depth is None else depth - len(root) + 1
+        rows = list(subtree(x, y, w, root, set_id, classes, float(table.column("min_leaf")[0].as_py()), left, seed, most))
+        types = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+        names = ["set_id", "node_id", "feature", "threshold", "left", "right", "prediction", "n", "impurity", "gain", "shares"]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    return run
+
+
+def grow(
+    bag: DataFrame, features: list[str], classes: list | None, max_depth: int | None = None, min_leaf: float = 0.005, max_features: int | None = None,
+    seed: str = "tree",
+) -> DataFrame:
+    """Node table (``NODES``) of one tree per set.
+
+    ``bag`` holds (set_id, y, predictors) and may hold a whole weight ``w``, how often a row counts. ``classes`` lists the labels of a classifier, None
+    grows regression trees. A row goes left if its value is at most the threshold. No leaf weighs less than ``min_leaf``: a share of its
+    set's weight below 1, else a number.
     """
-    measures = _measures(classes)
-    base = materialize(bag.select(*SET, "y", *features), "bag")
-    sizes = base.groupBy(*SET).agg(F.greatest(F.ceil(F.count(F.lit(1)) * F.lit(min_leaf)), F.lit(1)).alias("min_leaf"))
-    rows = base.join(sizes, SET).withColumn("node_id", F.lit(1))
-    nodes = None
-    for depth in range(max_depth + 1):
-        if depth:
-            # Each level reads the samples twice, so they are written once per level instead of re-deriving all levels above.
-            rows = materialize(rows, f"level{depth}")
-        stats = rows.groupBy(*NODE).agg(*[c.alias(k) for k, c in measures.items()])
-        if depth < max_depth:
-            splits = materialize(_best_splits(rows, features, list(measures), classes), f"splits{depth}")
-            stats = stats.join(splits, NODE, "left")
-        else:
-            splits = None
-            stats = stats.withColumns({"feature": F.lit(None).cast("int"), "bin": F.lit(None).cast("int"), "gain": F.lit(None).cast("double")})
-        child = F.when(F.col("feature").isNotNull(), F.col("node_id") * 2)
-        level = stats.select(
-            *NODE, "feature", "bin", child.alias("left"), (child + 1).alias("right"), _prediction(classes).alias("prediction"),
-            "n", _impurity(classes).alias("impurity"), F.coalesce("gain", F.lit(0.0)).alias("gain"),
-        )
-        nodes = level if nodes is None else nodes.unionByName(level)
-        if splits is None or splits.isEmpty():
-            break
-        value = F.element_at(F.array(*[F.col(f).cast("int") for f in features]), F.col("feature") + 1)
-        step = F.when(value > F.col("bin"), 1).otherwise(0)
-        # Samples of nodes that became leaves drop out of the join.
-        rows = rows.join(splits.select(*NODE, "feature", "bin"), NODE).select(
-            *SET, "y", *features, "min_leaf", (F.col("node_id") * 2 + step).alias("node_id")
-        )
-    return nodes
+    share_package(bag.sparkSession)
+    weight = F.col("w").cast("bigint") if "w" in bag.columns else F.lit(1).cast("bigint")
+    values = [F.col(f).cast("double").alias(f) for f in features]
+    rows = bag.filter("set_id IS NOT NULL AND y IS NOT NULL").select(F.col("set_id").cast("bigint").alias("set_id"), F.col("y").cast("double").alias("y"), weight.alias("w"), *values).filter("w > 0")
+    bad = F.greatest(*[(F.col(f).isNull() | F.isnan(f)).cast("int") for f in features]) if len(features) > 1 else (F.col(features[0]).isNull() | F.isnan(features[0])).cast("int")
+    least = F.greatest(F.ceil(F.sum("w") * F.lit(float(min_leaf))), F.lit(1)) if min_leaf < 1 else F.lit(int(min_leaf))
+    rows = materialize(rows, "bag")
+    sizes = rows.groupBy(*SET).agg(least.cast("bigint").alias("min_leaf"), F.max(bad).alias("_bad"), F.count(F.lit(1)).alias("_rows"))
+    sizes = sizes.filter("_bad = 0").drop("_bad")
+    rows = rows.join(sizes, SET).withColumn("node_id", F.lit("1"))
+    nodes = []
+    depth = 0
+    large = F.col("_rows") > FINISH_ROWS
+    while (max_depth is None or depth < max_depth) and rows.filter(large).limit(1).count():
+        rows = materialize(rows, "level")
+        big = rows.filter(large)
+        stats = big.groupBy(*NODE).agg(*[c.alias(k) for k, c in _measures(classes).items()])
+        splits = materialize(_level(big, features, classes, seed, max_features), "splits")
+        shown = _described(stats, classes).join(splits, NODE, "left")
+        child = lambda side: F.when(F.col("feature").isNotNull(), F.concat("node_id", F.lit(side)))
+        nodes.append(materialize(shown.select(
+            *NODE, "feature", "threshold", child("0").alias("left"), child("1").alias("right"), "prediction", F.col("n").cast("bigint").alias("n"), "impurity",
+            F.coalesce("gain", F.lit(0.0)).alias("gain"), "shares",
+        ), "nodes"))
+        value = F.element_at(F.array(*features), F.col("feature") + 1)
+        side = F.when(value > F.col("threshold"), "1").otherwise("0")
+        moved = big.join(splits.select(*NODE, "feature", "threshold"), NODE).withColumn("node_id", F.concat("node_id", side)).drop("feature", "threshold", "_rows")
+        moved = materialize(moved, "moved")
+        moved = moved.join(moved.groupBy(*NODE).agg(F.count(F.lit(1)).alias("_rows")), NODE)
+        rows = rows.filter(~large).unionByName(moved)
+        depth += 1
+    done = rows.groupBy(*NODE).applyInArrow(_finish(features, classes, max_depth, seed, max_features), NODES)
+    for level in nodes:
+        done = done.unionByName(level)
+    return done
 
 
 def importances(nodes: DataFrame, features: list[str]) -> DataFrame:
@@ -139,53 +239,95 @@ def importances(nodes: DataFrame, features: list[str]) -> DataFrame:
     return nodes.groupBy(*SET).agg(*cols)
 
 
-def pack(nodes: DataFrame, max_depth: int) -> DataFrame:
-    """One row per set with its tree as an array indexed by node id (at most 2^(depth + 1) - 1 entries)."""
-    entry = F.struct("node_id", F.struct("feature", "bin", "prediction").alias("v"))
-    maps = nodes.groupBy(*SET).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
-    ids = F.sequence(F.lit(1), F.lit(2 ** (max_depth + 1) - 1))
-    return maps.select(*SET, F.transform(ids, lambda i: F.try_element_at(F.col("_m"), i)).alias("tree"))
-
-
-def apply_tree(tree: Column, features: list[str], max_depth: int) -> Column:
-    """Prediction of a packed tree for the row's binned features, walked inside one expression."""
-    x = F.array(*[F.col(f).cast("int") for f in features])
-
-    def step(node: Column, _: Column) -> Column:
-        here = F.element_at(tree, node)
-        go = F.when(F.element_at(x, here["feature"] + 1) > here["bin"], 1).otherwise(0)
-        return F.when(here["feature"].isNull(), node).otherwise(node * 2 + go)
-
-    if max_depth == 0:
-        return F.element_at(tree, 1)["prediction"]
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.lit(1), step)
-    return F.element_at(tree, end)["prediction"]
-
-
-def predict(rows: DataFrame, nodes: DataFrame, features: list[str], max_depth: int) -> DataFrame:
-    """Adds ``pred`` to rows carrying ``set_id`` and binned features.
-
-    One join on the set brings the whole (bounded) tree; the tree table is broadcast only when its measured size allows,
-    otherwise the adaptive skew join splits a set with very many rows.
+def walk(x: np.ndarray, names: list[str], feature: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+    """Place of each row's leaf in the node arrays, by pointer steps of all rows at once."""
+    place = {n: i for i, n in enumerate(names)}
+    left, right = (np.array([place.get(n + side, -1) for n in names]) for side in "01")
+    at = np.full(len(x), place["1"])
+    while True:
+        move = np.flatnonzero(feature[at] >= 0)
+        if not len(move):
+            return at
+        here = at[move]
+        at[move] = np.where(x[move, feature[here]] > threshold[here], right[here], left[here])
+
+
+def _answer(features: list[str], kept: list[str], out):
+    def run(rows: pa.Table, nodes: pa.Table) -> pa.Table:
+        rows = rows.drop(["_salt"])
+        if not rows.num_rows or not nodes.num_rows:
+            return pa.Table.from_arrays([pa.array([], f.type) for f in out], schema=out)
+        x = np.stack([rows.column(f).to_numpy(zero_copy_only=False).astype(np.float64) for f in features], axis=1)
+        feature = nodes.column("feature").fill_null(-1).to_numpy()
+        leaf = walk(x, nodes.column("node_id").to_pylist(), feature, nodes.column("threshold").fill_null(0.0).to_numpy())
+        # a comparison with NaN is false, so a NULL predictor would go left unseen
+        whole = pa.array(~np.isnan(x).any(axis=1))
+        got = [nodes.column(c).take(pa.array(leaf)).combine_chunks() for c in ("prediction", "shares")]
+        got = [pc.if_else(whole, g, pa.scalar(None, g.type)) for g in got]
+        return pa.Table.from_arrays([*[rows.column(c) for c in kept], *got], schema=out)
+
+    return run
+
+
+def predict(rows: DataFrame, nodes: DataFrame, features: list[str], shares: bool = False) -> DataFrame:
+    """Adds ``pred`` (and ``shares`` of the classes) to rows carrying ``set_id`` and raw predictors; rows of sets without a tree are left out.
+
+    Rows of a set are dealt to tasks of about ``PREDICT_ROWS`` with a copy of its tree each. Trees beyond ``PREDICT_NODES`` are walked by joins, one
+    step a round. A row with a NULL predictor has no prediction.
     """
-    return rows.join(pack(nodes, max_depth), SET).withColumn("pred", apply_tree(F.col("tree"), features, max_depth)).drop("tree")
-
-
-def zero_inflated(bag: DataFrame, features: list[str], max_depth: int = 8, min_leaf: float = 0.005) -> tuple[DataFrame, DataFrame]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    share_package(rows.sparkSession)
+    kept = [c for c in rows.columns if c not in ("pred", "shares")]
+    nodes = materialize(nodes, "forest")
+    most = nodes.groupBy(*SET).count().agg(F.max("count")).first()[0] or 0
+    if most > PREDICT_NODES:
+        out = _by_joins(rows.select(kept), nodes, features)
+    else:
+        counts = rows.groupBy(*SET).agg((F.floor(F.count(F.lit(1)) / PREDICT_ROWS) + 1).cast("int").alias("_salts"))
+        salted = rows.select(kept).join(counts, SET)
+        salted = salted.withColumn("_salt", F.pmod(F.xxhash64(*kept), F.col("_salts")).cast("int")).drop("_salts")
+        trees = nodes.select("set_id", "node_id", "feature", "threshold", "prediction", "shares").join(counts, SET)
+        trees = trees.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+        schema = StructType([*rows.select(kept).schema.fields, *nodes.select(F.col("prediction").alias("pred"), "shares").schema.fields])
+        both = salted.groupBy("set_id", "_salt").cogroup(trees.groupBy("set_id", "_salt"))
+        out = both.applyInArrow(_answer(features, kept, to_arrow_schema(schema)), schema)
+    return out if shares else out.drop("shares")
+
+
+def _by_joins(rows: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
+    """Pointer steps as joins: rows at inner nodes move to a child, rows at leaves are done."""
+    nodes = nodes.select("set_id", "node_id", "feature", "threshold", F.col("prediction").alias("pred"), "shares")
+    open_ = rows.withColumn("node_id", F.lit("1"))
+    done, value = None, F.element_at(F.array(*[F.col(f).cast("double") for f in features]), F.col("feature") + 1)
+    whole = ~F.greatest(*[F.col(f).isNull() for f in features], F.lit(False))
+    while True:
+        at = materialize(open_.join(nodes, NODE), "step")
+        here = at.filter("feature IS NULL").select(*rows.columns, F.when(whole, F.col("pred")).alias("pred"), F.when(whole, F.col("shares")).alias("shares"))
+        done = here if done is None else done.unionByName(here)
+        inner = at.filter("feature IS NOT NULL")
+        if not inner.limit(1).count():
+            return done
+        side = F.when(value > F.col("threshold"), "1").otherwise("0")
+        open_ = inner.withColumn("node_id", F.concat("node_id", side)).select(*rows.columns, "node_id")
+
+
+def zero_inflated(bag: DataFrame, features: list[str], max_depth: int | None = None, min_leaf: float = 0.005, max_features: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Classifier of y <> 0 and regressor of y; their predictions are multiplied."""
     presence = bag.withColumn("y", (F.col("y") != 0).cast("int"))
-    return grow(presence, features, [0, 1], max_depth, min_leaf), grow(bag, features, None, max_depth, min_leaf)
+    return grow(presence, features, [0, 1], max_depth, min_leaf, max_features), grow(bag, features, None, max_depth, min_leaf, max_features)
 
 
-def predict_zero_inflated(rows: DataFrame, models: tuple[DataFrame, DataFrame], features: list[str], max_depth: int) -> DataFrame:
-    some = predict(rows, models[0], features, max_depth).withColumnRenamed("pred", "_some")
-    return predict(some, models[1], features, max_depth).withColumn("pred", F.col("_some") * F.col("pred")).drop("_some")
+def predict_zero_inflated(rows: DataFrame, models: tuple[DataFrame, DataFrame], features: list[str]) -> DataFrame:
+    some = predict(rows, models[0], features).withColumnRenamed("pred", "_some")
+    return predict(some, models[1], features).withColumn("pred", F.col("_some") * F.col("pred")).drop("_some")
 
 
 MODELS: dict[str, Callable] = {
-    "classifier": lambda bag, features, classes, depth: grow(bag, features, classes, depth),
-    "regressor": lambda bag, features, classes, depth: grow(bag, features, None, depth),
-    "zero_inflated": lambda bag, features, classes, depth: zero_inflated(bag, features, depth),
+    "classifier": lambda bag, features, classes, depth=None: grow(bag, features, classes, depth),
+    "regressor": lambda bag, features, classes, depth=None: grow(bag, features, None, depth),
+    "zero_inflated": lambda bag, features, classes, depth=None: zero_inflated(bag, features, depth),
 }
 
 
@@ -193,3 +335,4 @@ def trainer(model_type: str) -> Callable:
     if model_type not in MODELS:
         raise ValueError(f"unknown model type {model_type!r}; available: {', '.join(sorted(MODELS))}")
     return MODELS[model_type]
+

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "ras
     return spark
 
 
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package when the driver was started in another folder."""
+    home = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", ""), home]))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a temporary one only under a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -60,3 +60,22 @@ def test_progress_counts_late_events(spark):
     got = sorted(map(tuple, st.latest(rows, ["start_us", "state"], "n").collect()))
     want = log.groupBy(F.window("ts", "1 hour").alias("w"), "state").count().select(F.unix_micros("w.start"), "state", "count")
     assert got == sorted(map(tuple, want.collect()))
+
+
+def test_stored_statistics_of_many_large_members(spark):
+    """20,000 members near a million: the product of their count and squares passes a long."""
+    df = spark.range(20_000).selectExpr("1 AS row", "2 AS col", "CAST(1000000 + id % 3 AS INT) AS pred")
+    got = en.aggregate_stored(df, "pred").first()
+    assert (got["mean"], got["stdv"], got["count"]) == (1_000_000, 0, 20_000)
+    far = spark.range(20_000).selectExpr("1 AS row", "2 AS col", "CAST(id % 2 * 2000000000 AS INT) AS pred")
+    got = en.aggregate_stored(far, "pred").first()
+    assert (got["mean"], got["stdv"]) == (1_000_000_000, 1_000_000_000)
+
+
+def test_named_statistics(spark):
+    rows = [(1, 1, 5, 2, 80, 1, 3), (1, 1, 6, 2, 90, 1, 2), (1, 1, 7, 3, 70, 4, 0), (1, 2, 5, None, 80, 1, 3), (1, 2, 6, 4, 91, 1, 2)]
+    df = spark.createDataFrame(rows, "row int, col int, set_id int, pred int, oob_rate int, importance_0 int, importance_1 int")
+    got = en.aggregate(df, list(en.AGG_STATS), importances=["importance_0", "importance_1"]).orderBy("col")
+    assert got.columns == ["row", "col", *en.AGG_STATS]
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 2, 2, 2, 0, 67, 0, 80, 3), (1, 2, 4, 4, 4, 0, 100, 1, 91, 1)]
+    assert en.aggregate(df, ["pct_vote"]).columns == ["row", "col", "pct_vote"]
