@@ -1,20 +1,23 @@
 """Piecewise-linear segmentation of annual pixel series, after Kennedy et al. (2010).
 
-Every pixel of the data set goes through the same rounds at once. All windows share one partitioning (the
-pixel) and one order (the year), so the whole fit costs a single shuffle of the annual series.
+One shuffle brings the years of a pixel together as a short array; pixels of a batch with equally many years are stacked to one matrix, and
+every step is an array operation on all of them: spikes are dampened, the year farthest from the polyline becomes a vertex, vertices are culled by the
+flattest angle into a nested family of models, and all models are fitted and scored.
+
+A model is fitted twice: point to point through its vertices, and by anchored regression, a least-squares line in the first segment and then in each
+segment the least-squares slope from the end of the one before. The fit with the smaller squared error counts.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-
-from rasterloom.session import materialize
+from pyspark.sql import DataFrame, functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,11 +37,12 @@ class Params(NamedTuple):
     min_observations: int = 6
 
 
-def _p_of_f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+def _p_of_f(f: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
     """Upper tail of the F distribution: incomplete beta by its continued fraction, all rows at once."""
     from math import lgamma
 
-    f, d1, d2 = f.to_numpy(float), d1.to_numpy(float), d2.to_numpy(float)
+    if not len(f):
+        return np.zeros(0)
     a, b, x = d2 / 2, d1 / 2, d2 / (d2 + d1 * np.maximum(f, 0))
     flip = x > (a + 1) / (a + b + 2)
     a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
@@ -55,131 +59,168 @@ def _p_of_f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
             d, c = 1 / (1 + term * d), 1 + term / c
             h = h * d * c
     p = front * h
-    return pd.Series(np.where(flip, 1 - p, p))
-
+    return np.where(flip, 1 - p, p)
 
-def _along() -> W:
-    return W.partitionBy(*PX).orderBy("yr")
 
+def despike(v: np.ndarray, threshold: float) -> np.ndarray:
+    """Replace a year standing out from two similar neighbours by their mean."""
+    out = v.copy()
+    before, here, after = v[:, :-2], v[:, 1:-1], v[:, 2:]
+    size = np.maximum(np.abs(here - before), np.abs(here - after))
+    with np.errstate(all="ignore"):
+        spike = 1 - np.abs(after - before) / size
+    out[:, 1:-1] = np.where(spike > threshold, (before + after) / 2, here)
+    return out
 
-def _around(mark: Column) -> tuple[Column, Column]:
-    """Nearest marked year strictly before and strictly after, as (yr, v) structs."""
-    at = F.when(mark, F.struct("yr", "v"))
-    before = F.last(at, ignorenulls=True).over(_along().rowsBetween(W.unboundedPreceding, -1))
-    after = F.first(at, ignorenulls=True).over(_along().rowsBetween(1, W.unboundedFollowing))
-    return before, after
 
+def _around(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place the nearest marked place strictly before (-1: none) and strictly after (the length: none)."""
+    n = mark.shape[1]
+    at = np.arange(n)
+    upto = np.maximum.accumulate(np.where(mark, at, -1), axis=1)
+    onward = np.minimum.accumulate(np.where(mark, at, n)[:, ::-1], axis=1)[:, ::-1]
+    none = np.full((len(mark), 1), -1)
+    return np.hstack([none, upto[:, :-1]]), np.hstack([onward[:, 1:], none + n + 1])
 
-def _line(a: Column, b: Column, yr: Column) -> Column:
-    return a["v"] + (b["v"] - a["v"]) * (yr - a["yr"]) / (b["yr"] - a["yr"]).cast("double")
 
+def _take(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.take_along_axis(x, np.clip(at, 0, x.shape[1] - 1), axis=1)
 
-def despike(s: DataFrame, threshold: float) -> DataFrame:
-    """Replace a year standing out from two similar neighbours by their mean."""
-    prev, nxt = F.lag("v").over(_along()), F.lead("v").over(_along())
-    size = F.greatest(F.abs(F.col("v") - prev), F.abs(F.col("v") - nxt))
-    spike = 1 - F.try_divide(F.abs(nxt - prev), size)
-    return s.withColumn("v", F.when(spike > threshold, (prev + nxt) / 2).otherwise(F.col("v")))
 
-
-def _pick(s: DataFrame, score: Column, flag: str, best=F.max_by) -> DataFrame:
-    """Set ``flag`` on the one row per pixel with the extreme score (earliest year on ties)."""
-    key = F.when(score.isNotNull(), F.struct(score.alias("s"), (-F.col("yr") if best is F.max_by else F.col("yr")).alias("y")))
-    s = s.withColumn("_key", key)
-    year = best("yr", "_key").over(W.partitionBy(*PX))
-    return s.withColumn(flag, (F.col("yr") == year) & F.col("_key").isNotNull()).drop("_key")
+def _between(t: np.ndarray, v: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The polyline through the marked places, of which the first and last are."""
+    a, b = _around(mark)
+    ta, tb, va, vb = _take(t, a), _take(t, b), _take(v, a), _take(v, b)
+    with np.errstate(all="ignore"):
+        line = va + (vb - va) * (t - ta) / (tb - ta)
+    return np.where(mark, v, line)
 
 
-def candidate_vertices(s: DataFrame, p: Params) -> DataFrame:
-    """Insert the year farthest from the current polyline, one per round, starting from the two end years."""
-    w = W.partitionBy(*PX)
-    s = s.withColumn("vertex", (F.col("yr") == F.min("yr").over(w)) | (F.col("yr") == F.max("yr").over(w)))
+def candidate_vertices(t: np.ndarray, v: np.ndarray, p: Params) -> np.ndarray:
+    """Insert the year farthest from the current polyline (the earliest on ties), one per round, starting from the two end years."""
+    mark = np.zeros(v.shape, bool)
+    mark[:, [0, -1]] = True
     for _ in range(p.max_segments - 1 + p.vertex_overshoot):
-        a, b = _around(F.col("vertex"))
-        s = s.withColumns({"_a": a, "_b": b})
-        off = F.abs(F.col("v") - _line(F.col("_a"), F.col("_b"), F.col("yr")))
-        s = _pick(s, F.when(~F.col("vertex") & (off > 0), off), "_new")
-        s = s.withColumn("vertex", F.col("vertex") | F.coalesce(F.col("_new"), F.lit(False))).drop("_a", "_b", "_new")
-    return s
+        off = np.where(mark, 0.0, np.abs(v - _between(t, v, mark)))
+        best = off.argmax(axis=1)
+        rows = np.flatnonzero(off.max(axis=1) > 0)
+        if not len(rows):
+            break
+        mark[rows, best[rows]] = True
+    return mark
 
 
-def removal_order(s: DataFrame, p: Params) -> DataFrame:
-    """``segments``: the smallest model, counted in segments, that still uses the vertex.
+def model_sizes(t: np.ndarray, v: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Of each vertex the smallest model, counted in segments, that still uses it (elsewhere a number beyond all models).
 
-    The vertex with the flattest angle goes first, which yields one nested family of models.
+    The vertex with the flattest angle goes first, the earliest on ties.
     """
-    w = W.partitionBy(*PX)
-    span_y = F.greatest(F.max("v").over(w) - F.min("v").over(w), F.lit(1e-9))
-    span_t = (F.max("yr").over(w) - F.min("yr").over(w)).cast("double")
-    s = s.withColumns({"_sy": span_y, "_st": span_t, "segments": F.when(F.col("vertex"), F.lit(1)), "_live": F.col("vertex")})
-    for _ in range(p.max_segments - 1 + p.vertex_overshoot):
-        a, b = _around(F.col("_live"))
-        s = s.withColumns({"_a": a, "_b": b, "_n": F.sum(F.col("_live").cast("int")).over(w) - 1})
-
-        def slope(lo: Column, hi: Column) -> Column:
-            return F.atan(((hi["v"] - lo["v"]) / F.col("_sy")) / ((hi["yr"] - lo["yr"]) / F.col("_st")))
-
-        here = F.struct("yr", "v")
-        bend = F.abs(slope(here, F.col("_b")) - slope(F.col("_a"), here))
-        inner = F.col("_live") & F.col("_a").isNotNull() & F.col("_b").isNotNull()
-        s = _pick(s, F.when(inner, bend), "_out", F.min_by)
-        out = F.coalesce(F.col("_out"), F.lit(False))
-        s = s.withColumns({"segments": F.when(out, F.col("_n")).otherwise(F.col("segments")), "_live": F.col("_live") & ~out})
-        s = s.drop("_a", "_b", "_n", "_out")
-    return s.drop("_sy", "_st", "_live", "vertex")
+    tall = np.maximum(v.max(axis=1) - v.min(axis=1), 1e-9)[:, None]
+    wide = (t[:, -1] - t[:, 0])[:, None]
+    segments, live = np.where(mark, 1, 1 << 20), mark.copy()
+    inner = np.ones(v.shape, bool)
+    inner[:, [0, -1]] = False
+    while True:
+        rows = np.flatnonzero((live & inner).any(axis=1))
+        if not len(rows):
+            return segments
+        a, b = _around(live)
+        with np.errstate(all="ignore"):
+            rise = np.arctan(((v - _take(v, a)) / tall) / ((t - _take(t, a)) / wide))
+            on = np.arctan(((_take(v, b) - v) / tall) / ((_take(t, b) - t) / wide))
+        bend = np.where(live & inner, np.abs(on - rise), np.inf)
+        out = bend.argmin(axis=1)[rows]
+        segments[rows, out] = live.sum(axis=1)[rows] - 1
+        live[rows, out] = False
+
+
+def anchored(t: np.ndarray, v: np.ndarray, vertex: np.ndarray) -> np.ndarray:
+    """Least-squares line in the first segment, then the least-squares slope from the end before. ``vertex``: places (rows x segments + 1)."""
+    at, fit = np.arange(v.shape[1]), np.zeros(v.shape)
+    end = None
+    for j in range(vertex.shape[1] - 1):
+        a, b = vertex[:, [j]], vertex[:, [j + 1]]
+        m = (at >= a) & (at <= b)
+        if end is None:
+            n = m.sum(axis=1, keepdims=True)
+            mt, mv = (t * m).sum(axis=1, keepdims=True) / n, (v * m).sum(axis=1, keepdims=True) / n
+            slope = (m * (t - mt) * (v - mv)).sum(axis=1, keepdims=True) / (m * (t - mt) ** 2).sum(axis=1, keepdims=True)
+            line = mv + slope * (t - mt)
+        else:
+            t0 = np.take_along_axis(t, a, axis=1)
+            slope = (m * (t - t0) * (v - end)).sum(axis=1, keepdims=True) / (m * (t - t0) ** 2).sum(axis=1, keepdims=True)
+            line = end + slope * (t - t0)
+            m &= at > a
+        fit = np.where(m, line, fit)
+        end = np.take_along_axis(line, b, axis=1)
+    return fit
+
+
+def fit_stack(t: np.ndarray, raw: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(fitted, is_vertex) of series with equally many years, two at least."""
+    v = despike(raw, p.spike_threshold)
+    sizes = model_sizes(t, v, candidate_vertices(t, v, p))
+    rows, years = v.shape
+    mean = v.mean(axis=1, keepdims=True)
+    sst = ((v - mean) ** 2).sum(axis=1)
+    found = []
+    for k in range(1, p.max_segments + 1):
+        mark = sizes <= k
+        here = np.flatnonzero(mark.sum(axis=1) == k + 1)
+        if not len(here) or years - k - 1 <= 0:
+            continue
+        tk, vk, mk = t[here], v[here], mark[here]
+        vertex = np.nonzero(mk)[1].reshape(len(here), k + 1)
+        fits = np.stack([_between(tk, vk, mk), anchored(tk, vk, vertex)])
+        errors = ((vk - fits) ** 2).sum(axis=2)
+        pick = errors.argmin(axis=0)
+        fit, sse = fits[pick, np.arange(len(here))], errors.min(axis=0)
+        at = np.take_along_axis(fit, vertex, axis=1)
+        fall, gap = at[:, :-1] - at[:, 1:], np.diff(np.take_along_axis(tk, vertex, axis=1))
+        fast = (np.maximum(fall, 0) / gap).max(axis=1) > p.recovery_threshold * (vk.max(axis=1) - vk.min(axis=1))
+        one_year = ((fall > 0) & (gap == 1)).any(axis=1) & p.prevent_one_year_recovery
+        whole, d1, d2 = sst[here], np.full(len(here), float(k)), np.full(len(here), float(years - k - 1))
+        with np.errstate(all="ignore"):
+            ratio = np.nan_to_num((whole - sse) / d1 / (sse / d2), nan=0.0, posinf=0.0, neginf=0.0)
+        chance = np.where(sse <= 1e-9 * np.maximum(whole, 1.0), np.where(whole > 0, 0.0, 1.0), _p_of_f(ratio, d1, d2))
+        ok = (~fast & ~one_year) | (k == 1)
+        found.append((k, here[ok], chance[ok], fit[ok], mk[ok]))
+    best = np.full(rows, np.inf)
+    for _, here, chance, _, _ in found:
+        best[here] = np.minimum(best[here], chance)
+    fitted, vertex = np.repeat(mean, years, axis=1), np.zeros(v.shape, bool)
+    vertex[:, [0, -1]] = True
+    for _, here, chance, fit, mark in found:  # the largest good model is written last
+        good = (chance <= (2 - p.best_model_proportion) * best[here]) & (chance <= p.pval_threshold)
+        fitted[here[good]], vertex[here[good]] = fit[good], mark[good]
+    return fitted, vertex
 
 
 def segment(series: DataFrame, value: str, p: Params = Params()) -> DataFrame:
-    """(row, col, yr, raw, fitted, is_vertex) for every pixel with enough years.
+    """(row, col, yr, raw, fitted, is_vertex) for every pixel with enough years; values of one pixel and year are averaged.
 
     The model kept is the one with most segments whose p-value is within the allowed factor of the best. A pixel
     whose best p-value misses the threshold gets a flat line at its mean.
     """
-    w = W.partitionBy(*PX)
-    s = series.select(*PX, "yr", F.col(value).cast("double").alias("raw")).dropna()
-    s = s.repartition(*PX).withColumn("_n", F.count(F.lit(1)).over(w)).filter(F.col("_n") >= p.min_observations)
-    s = despike(s.withColumn("v", F.col("raw")), p.spike_threshold).drop("_n")
-    s = materialize(removal_order(candidate_vertices(s, p), p), "vertices")
-
-    models = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(p.max_segments))))
-    by_model = W.partitionBy(*PX, "k").orderBy("yr")
-    live = F.col("segments") <= F.col("k")
-    at = F.when(live, F.struct("yr", "v"))
-    models = models.repartition(*PX).withColumns(
-        {
-            "_a": F.last(at, ignorenulls=True).over(by_model.rowsBetween(W.unboundedPreceding, -1)),
-            "_b": F.first(at, ignorenulls=True).over(by_model.rowsBetween(0, W.unboundedFollowing)),
-            "is_vertex": F.coalesce(live, F.lit(False)),
-        }
-    )
-    a, b = F.col("_a"), F.col("_b")
-    models = models.withColumn("fitted", F.when(a.isNull(), b["v"]).otherwise(_line(a, b, F.col("yr"))))
-    range_v = F.max("v") - F.min("v")
-    fall = F.when(F.col("is_vertex") & a.isNotNull() & (a["v"] > F.col("v")), a["v"] - F.col("v"))
-    years = F.col("yr") - a["yr"]
-    one_year = F.coalesce(F.bool_or(fall.isNotNull() & (years == 1)), F.lit(False)) if p.prevent_one_year_recovery else F.lit(False)
-    err = F.col("v") - F.col("fitted")
-    stats = models.groupBy(*PX, "k").agg(
-        F.sum(err * err).alias("sse"),
-        (F.var_pop("v") * F.count("v")).alias("sst"),
-        F.count("v").alias("n"),
-        F.sum(F.col("is_vertex").cast("int")).alias("nv"),
-        (F.coalesce(F.max(fall / years), F.lit(0.0)) > p.recovery_threshold * range_v).alias("fast"),
-        one_year.alias("one_year"),
-        F.avg("v").alias("mean"),
-    )
-    # Models that need more vertices than were found repeat a smaller one; drop them, and unscorable ones.
-    stats = stats.filter((F.col("nv") == F.col("k") + 1) & ((F.col("n") - F.col("k") - 1) > 0))
-    d1, d2 = F.col("k").cast("double"), (F.col("n") - F.col("k") - 1).cast("double")
-    ratio = F.try_divide((F.col("sst") - F.col("sse")) / d1, F.col("sse") / d2)
-    p_of_f = F.pandas_udf(_p_of_f, "double")
-    exact = F.col("sse") <= 1e-9 * F.greatest(F.col("sst"), F.lit(1.0))
-    stats = stats.withColumn("p", p_of_f(F.coalesce(ratio, F.lit(0.0)), d1, d2))
-    stats = stats.withColumn("p", F.when(exact & (F.col("sst") > 0), 0.0).when(F.col("sst") == 0, 1.0).otherwise(F.col("p")))
-    ok = (~F.col("fast") & ~F.col("one_year")) | (F.col("k") == 1)
-    stats = stats.filter(ok).withColumn("_best", F.min("p").over(W.partitionBy(*PX)))
-    good = (F.col("p") <= (2 - p.best_model_proportion) * F.col("_best")) & (F.col("p") <= p.pval_threshold)
-    choice = stats.groupBy(*PX).agg(F.max(F.when(good, F.col("k"))).alias("k"), F.first("mean").alias("mean"))
-    flat = F.col("_choice").isNull()
-    chosen = models.join(choice.withColumnRenamed("k", "_choice"), PX).filter(F.col("k") == F.coalesce(F.col("_choice"), F.lit(1)))
-    return chosen.select(*PX, "yr", "raw", F.when(flat, F.col("mean")).otherwise(F.col("fitted")).alias("fitted"), "is_vertex")
+    years = series.select(*PX, "yr", F.col(value).cast("double").alias("raw")).dropna().repartition(*PX)
+    years = years.groupBy(*PX, "yr").agg(F.avg("raw").alias("raw"))
+    stacked = years.groupBy(*PX).agg(F.array_sort(F.collect_list(F.struct("yr", "raw"))).alias("s"))
+    stacked = stacked.filter(F.size("s") >= max(p.min_observations, 2)).select(*PX, F.col("s.yr").cast("array<double>").alias("yr"), F.col("s.raw").alias("raw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            years, raw = batch.column(2), batch.column(3)
+            size, ends = np.asarray(years.value_lengths()), np.asarray(years.offsets)
+            t, v = np.asarray(years.values), np.asarray(raw.values)
+            fitted, vertex = np.zeros(len(v)), np.zeros(len(v), bool)
+            for n in np.unique(size):
+                place = ends[:-1][size == n][:, None] + np.arange(n)
+                fitted[place], vertex[place] = fit_stack(t[place], v[place], p)
+            lists = [pa.ListArray.from_arrays(years.offsets, pa.array(x)) for x in (fitted, vertex)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "fitted", "is_vertex"])
+
+    types = dict(stacked.dtypes)
+    schema = ", ".join([f"{c} {types[c]}" for c in stacked.columns] + ["fitted array<double>", "is_vertex array<boolean>"])
+    fits = stacked.mapInArrow(run, schema)
+    each = fits.select(*PX, F.explode(F.arrays_zip("yr", "raw", "fitted", "is_vertex")).alias("s"))
+    return each.select(*PX, F.col("s.yr").cast(dict(series.dtypes)["yr"]).alias("yr"), "s.raw", "s.fitted", "s.is_vertex")

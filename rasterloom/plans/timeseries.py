@@ -101,8 +101,7 @@ def fitted_series(spark, d):
 @query("temporal_segmentation")
 def temporal_segmentation(spark, d):
     s = cp.medoid(fx.obs(spark, d)).select("row", "col", "yr", sp.spectral_index("NBR").alias("nbr"))
-    # Seven years of data here, so fewer segments than the default nine.
-    out = sg.segment(s, "nbr", sg.Params(max_segments=4, vertex_overshoot=1))
+    out = sg.segment(s, "nbr")
     return out.withColumns({c: F.round(c, 6) for c in ("raw", "fitted")})
 
 

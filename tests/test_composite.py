@@ -1,8 +1,10 @@
 """Compositing and segmentation against brute force and known shapes."""
 
+import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -103,3 +105,89 @@ def test_p_of_f_known_values():
 
     got = sg._p_of_f(pd.Series([4.964603, 1.0, 0.0, 7.708647]), pd.Series([1.0, 5, 3, 1]), pd.Series([10.0, 5, 9, 4]))
     assert got.tolist() == pytest.approx([0.05, 0.5, 1.0, 0.05], abs=1e-5)
+
+
+def _plain_segment(years, raw, p):
+    """One pixel by loops: the twin of the array kernels."""
+    n = len(raw)
+    v = list(raw)
+    for i in range(1, n - 1):
+        size = max(abs(raw[i] - raw[i - 1]), abs(raw[i] - raw[i + 1]))
+        if size and 1 - abs(raw[i + 1] - raw[i - 1]) / size > p.spike_threshold:
+            v[i] = (raw[i - 1] + raw[i + 1]) / 2
+
+    def line(marks):
+        out = list(v)
+        for a, b in zip(marks, marks[1:]):
+            for i in range(a + 1, b):
+                out[i] = v[a] + (v[b] - v[a]) * (years[i] - years[a]) / (years[b] - years[a])
+        return out
+
+    marks = [0, n - 1]
+    for _ in range(p.max_segments - 1 + p.vertex_overshoot):
+        fit = line(marks)
+        off = [0 if i in marks else abs(v[i] - fit[i]) for i in range(n)]
+        if max(off) <= 0:
+            break
+        marks = sorted([*marks, off.index(max(off))])
+    models, tall, wide = {}, max(max(v) - min(v), 1e-9), years[-1] - years[0]
+    while True:
+        models[len(marks) - 1] = list(marks)
+        if len(marks) == 2:
+            break
+        slope = lambda a, b: math.atan((v[b] - v[a]) / tall / ((years[b] - years[a]) / wide))
+        bends = [abs(slope(b, c) - slope(a, b)) for a, b, c in zip(marks, marks[1:], marks[2:])]
+        marks = [m for i, m in enumerate(marks) if i != bends.index(min(bends)) + 1]
+    mean, scored = sum(v) / n, {}
+    sst = sum((x - mean) ** 2 for x in v)
+    for k, marks in models.items():
+        if k > p.max_segments or n - k - 1 <= 0:
+            continue
+        fit, end = [0.0] * n, None
+        for a, b in zip(marks, marks[1:]):
+            part = range(a, b + 1)
+            if end is None:
+                mt, mv = sum(years[i] for i in part) / len(part), sum(v[i] for i in part) / len(part)
+                slope = sum((years[i] - mt) * (v[i] - mv) for i in part) / sum((years[i] - mt) ** 2 for i in part)
+                at = lambda t, mt=mt, mv=mv, slope=slope: mv + slope * (t - mt)
+            else:
+                slope = sum((years[i] - years[a]) * (v[i] - end) for i in part) / sum((years[i] - years[a]) ** 2 for i in part)
+                at = lambda t, t0=years[a], end=end, slope=slope: end + slope * (t - t0)
+                part = range(a + 1, b + 1)
+            for i in part:
+                fit[i] = at(years[i])
+            end = at(years[b])
+        other = line(marks)
+        sse = [sum((x - y) ** 2 for x, y in zip(v, f)) for f in (other, fit)]
+        fit, sse = (other, sse[0]) if sse[0] <= sse[1] else (fit, sse[1])
+        falls = [(fit[a] - fit[b], years[b] - years[a]) for a, b in zip(marks, marks[1:])]
+        bad = max(max(f, 0) / g for f, g in falls) > p.recovery_threshold * (max(v) - min(v)) or p.prevent_one_year_recovery and any(f > 0 and g == 1 for f, g in falls)
+        if bad and k > 1:
+            continue
+        if sse <= 1e-9 * max(sst, 1):
+            chance = 0.0 if sst > 0 else 1.0
+        else:
+            chance = float(sg._p_of_f(np.array([(sst - sse) / k / (sse / (n - k - 1))]), np.array([float(k)]), np.array([float(n - k - 1)]))[0])
+        scored[k] = (chance, fit, marks)
+    best = min(c for c, _, _ in scored.values())
+    good = [k for k, (c, _, _) in scored.items() if c <= (2 - p.best_model_proportion) * best and c <= p.pval_threshold]
+    return (scored[max(good)][1], scored[max(good)][2]) if good else ([mean] * n, [0, n - 1])
+
+
+def test_segmentation_equals_plain_loops(spark):
+    """Series of 6 to 20 years with gaps at the method's defaults."""
+    r = random.Random(12)
+    p, data, want = sg.Params(), [], {}
+    for i in range(120):
+        years = sorted(r.sample(range(1984, 2012), r.randint(6, 20)))
+        level, raw = 500.0, []
+        for _ in years:
+            level += r.choice([0, 0, 0, 5, -4, 300, -60]) + r.uniform(-3, 3)
+            raw.append(round(level, 3))
+        data += [(i, 0, y, x) for y, x in zip(years, raw)]
+        fit, marks = _plain_segment([float(y) for y in years], raw, p)
+        want |= {(i, y): (f, k in marks) for k, (y, f) in enumerate(zip(years, fit))}
+    got = {(g["row"], g["yr"]): (g["fitted"], g["is_vertex"]) for g in sg.segment(spark.createDataFrame(data, "row int, col int, yr int, v double"), "v", p).collect()}
+    assert got.keys() == want.keys()
+    for k, (f, mark) in want.items():
+        assert abs(got[k][0] - f) < 1e-6 and got[k][1] == mark, k
