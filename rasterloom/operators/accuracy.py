@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rasterloom.operators.ranking import running_sums
+from rasterloom.operators.ranking import running_sums, quantile_bucket
 from rasterloom.session import materialize
 
 
@@ -160,19 +160,20 @@ def _score_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
     return materialize(counts, "scores")
 
 
-def roc_auc(df: DataFrame, truth: str, score: str, bucket_width: float = 1.0) -> DataFrame:
+def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the curve to three decimals (Mann-Whitney with ties at half weight)."""
-    c = running_sums(_score_counts(df, truth, score), F.col("score"), F.floor(F.col("score") / bucket_width), ["neg"])
+    counts = _score_counts(df, truth, score)
+    c = running_sums(counts, F.col("score"), quantile_bucket(counts, "score"), ["neg"])
     below = F.col("cum_neg") - F.col("neg")
     wins = F.sum((F.col("pos") * (2 * below + F.col("neg"))).cast("decimal(38,0)"))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return c.agg(F.round(F.try_divide(wins.cast("double") / 2, pairs), 3).alias("auc"))
 
 
-def roc_curve(df: DataFrame, truth: str, score: str, bucket_width: float = 1.0) -> DataFrame:
+def roc_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     """One point per distinct score: share of negatives and positives scoring at least that much."""
     counts = _score_counts(df, truth, score)
-    c = running_sums(counts, -F.col("score"), -F.floor(F.col("score") / bucket_width), ["pos", "neg"])
+    c = running_sums(counts, -F.col("score"), -quantile_bucket(counts, "score"), ["pos", "neg"])
     all_of = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
     c = c.withColumn("_a", all_of)
     return c.select(

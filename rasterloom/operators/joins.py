@@ -141,7 +141,7 @@ def pixel_sets(pixels: DataFrame, sets: DataFrame, tx: Affine, cell: float) -> D
 
 def set_positions(covered: DataFrame) -> DataFrame:
     """Position of each set in its pixel's ascending list, without building the list."""
-    return id_rank(covered, "set_id", ["row", "col"], "pos", "n_sets")
+    return id_rank(covered, "set_id", ["row", "col"], "pos", "n_sets", width=1 << 20)
 
 
 def set_combination(covered: DataFrame) -> DataFrame:

@@ -79,10 +79,15 @@ def hash_rank(
 
 
 def id_rank(
-    df: DataFrame, key: str, by: list[str] = (), rank: str = "rk", total: str | None = None, width: int = 1 << 20
+    df: DataFrame, key: str, by: list[str] = (), rank: str = "rk", total: str | None = None, width: int | None = None
 ) -> DataFrame:
-    """Rank by a unique integer id; a bucket spans ``width`` ids and so holds at most that many rows."""
-    return ordered_rank(df, F.floor(F.col(key) / F.lit(width)), [F.col(key)], by, rank, total)
+    """Rank by an integer id that is unique in its group.
+
+    Buckets are bounded by quantiles, so sparse and clustered ids spread evenly. With ``width`` a bucket spans that many ids instead, which saves
+    the pass for the quantiles where groups are known to be small.
+    """
+    bucket = quantile_bucket(df, key) if width is None else F.floor(F.col(key) / F.lit(width))
+    return ordered_rank(df, bucket, [F.col(key)], by, rank, total)
 
 
 def hash_first(df: DataFrame, seed: str, key: list[str], n: int | Column | DataFrame, by: list[str] = (), rank: str = "_rk", total: str = "_size") -> DataFrame:

@@ -138,7 +138,7 @@ c AS (SELECT prob100 AS s, count(*) FILTER (truth = 1) AS p, count(*) FILTER (tr
 w AS (SELECT a.p * (2 * coalesce((SELECT sum(n) FROM c b WHERE b.s < a.s), 0) + a.n) AS v, a.p, a.n FROM c a)
 SELECT round(CAST(sum(v) AS DOUBLE) / 2 / (CAST(sum(p) AS DOUBLE) * sum(n)), 3) AS auc FROM w""")
 def roc_auc(spark, d):
-    return ac.roc_auc(fx.probs(spark, d), "truth", "prob100", bucket_width=10)
+    return ac.roc_auc(fx.probs(spark, d), "truth", "prob100")
 
 
 @query("roc_curve", "probs", """
@@ -146,7 +146,7 @@ c AS (SELECT prob100 AS threshold, count(*) FILTER (truth = 1) AS p, count(*) FI
 SELECT threshold, round(CAST(sum(n) OVER w AS DOUBLE) / (SELECT sum(n) FROM c), 6) AS fpr, round(CAST(sum(p) OVER w AS DOUBLE) / (SELECT sum(p) FROM c), 6) AS tpr
 FROM c WINDOW w AS (ORDER BY threshold DESC)""")
 def roc_curve(spark, d):
-    out = ac.roc_curve(fx.probs(spark, d), "truth", "prob100", bucket_width=10)
+    out = ac.roc_curve(fx.probs(spark, d), "truth", "prob100")
     return out.select("threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
 
 

@@ -8,7 +8,7 @@ from rasterloom import fixtures as fx
 from rasterloom.functions import grid as g, names as nm
 from rasterloom.operators import grids, joins as j, polygons as pg
 from rasterloom.operators.overlap import boxes_overlap, points_in_boxes
-from rasterloom.operators.ranking import id_rank, ordered_rank
+from rasterloom.operators.ranking import id_rank, ordered_rank, quantile_bucket
 from rasterloom.plans.registry import query
 from rasterloom.session import materialize
 from rasterloom.plans.scalars import TX, _SCENE_SQL, _scenes
@@ -111,7 +111,8 @@ SELECT row_number() OVER (ORDER BY set_id, tile_id) - 1 AS new_id, set_id, tile_
 def join_grid_intersects(spark, d):
     hit = boxes_overlap(fx.sets(spark, d), fx.tiles(spark, d), TILE, touching=True)
     hit = hit.select(F.col("l_set_id").alias("set_id"), F.col("r_tile_id").alias("tile_id"))
-    ranked = ordered_rank(hit, F.floor(F.col("set_id") / 4096), [F.col("set_id"), F.col("tile_id")], rank="new_id")
+    hit = materialize(hit, "intersections")
+    ranked = ordered_rank(hit, quantile_bucket(hit, "set_id"), [F.col("set_id"), F.col("tile_id")], rank="new_id")
     return ranked.withColumn("new_id", F.col("new_id") - 1)
 
 

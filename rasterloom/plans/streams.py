@@ -31,8 +31,9 @@ r AS (SELECT e.task_id, greatest(done, i2) AS ready, i3, bad, done, i2 FROM e JO
 SELECT task_id, epoch_us(ready) AS ready_us FROM r WHERE done IS NOT NULL AND i2 IS NOT NULL AND (i3 IS NULL OR ready < i3) AND (bad IS NULL OR ready < bad)""")
 def task_ready_stream(spark, d):
     out, check = scratch_path(spark, "ready"), scratch_path(spark, "ready-check")
-    st.run_append(st.ready_tasks(_events(spark, d)), out, check)
-    return spark.read.schema(st.READY_SCHEMA).parquet(out)
+    st.run_upsert(st.ready_answers(_events(spark, d)), out, check)
+    rows = spark.read.schema(f"{st.ANSWER_SCHEMA}, batch int").parquet(f"{out}/*")
+    return st.latest(rows, ["task_id"], "ready_us").filter("ready_us IS NOT NULL")
 
 
 @query("stall_timeout", "task_events", """
@@ -43,8 +44,8 @@ SELECT task_id, epoch_us(a) AS first_us, epoch_us(b) AS stalled_us, n AS updates
 WHERE date_trunc('millisecond', b) <= (SELECT date_trunc('millisecond', max(ts)) FROM task_events)""")
 def stall_timeout(spark, d):
     out, check = scratch_path(spark, "stalls"), scratch_path(spark, "stalls-check")
-    st.run_append(st.stalls(_events(spark, d), "24 hours"), out, check)
-    return spark.read.schema("task_id long, first_us long, stalled_us long, updates long").parquet(out)
+    st.run_upsert(st.run_answers(_events(spark, d), "24 hours"), out, check)
+    return st.stalled_runs(spark.read.schema(f"{st.RUNS_SCHEMA}, batch int").parquet(f"{out}/*"), "24 hours")
 
 
 @query("progress_counts", "task_events", """

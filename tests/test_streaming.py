@@ -113,3 +113,67 @@ def test_composites_follow_arrivals(spark, tmp_path):
     st.incremental_composites(_stream(spark, path), base, str(tmp_path / "check"), ["b1", "b2"], tile_rows=2)
     want = rows(medoid(spark.createDataFrame(data, schema), ["b1", "b2"]))
     assert rows(st.composites(spark, base, ["b1", "b2"])) == want
+
+
+@pytest.mark.parametrize("files", [1, 3, 8])
+def test_answers_do_not_depend_on_batches(spark, tmp_path, files):
+    """Rows shuffled over several files, one micro-batch each, give the rows of a batch over all of them."""
+    data = _log(240)
+    random.Random(files).shuffle(data)
+    path = str(tmp_path / "log")
+    for k in range(files):
+        spark.createDataFrame(data[k::files], "ts timestamp, task_id long, state string").coalesce(1).write.mode("append").parquet(path)
+    ready, stalled = [], []
+    for task in {t for _, t, _ in data}:
+        own = sorted((ts, s) for ts, t, s in data if t == task)
+        times = lambda *states: [_us(ts) for ts, s in own if s in states]
+        infos, done, bad = times("INFO"), times("COMPLETED"), times("FAILED")
+        if done and len(infos) > 1:
+            at = max(done[0], infos[1])
+            if (not bad or at < bad[0]) and (len(infos) == 2 or at < infos[2]):
+                ready.append((task, at))
+        stalled += [(task, *run) for run in _plain_runs([_us(ts) for ts, _ in own])]
+    newest = max(_us(ts) for ts, _, _ in data)
+    wait = 5 * 3600 * 1_000_000
+    stalled = sorted((t, a, b + wait, n) for t, a, b, n in stalled if (b + wait) // 1000 <= newest // 1000)
+    for name, stream, schema in (("ready", st.ready_answers(_stream(spark, path)), st.ANSWER_SCHEMA), ("runs", st.run_answers(_stream(spark, path), "5 hours"), st.RUNS_SCHEMA)):
+        st.run_upsert(stream, str(tmp_path / name), str(tmp_path / f"{name}-check"))
+        got = spark.read.schema(f"{schema}, batch int").parquet(f"{tmp_path}/{name}/*")
+        if name == "ready":
+            assert rows(st.latest(got, ["task_id"], "ready_us").filter("ready_us IS NOT NULL"), "task_id", "ready_us") == sorted(ready) and ready
+        else:
+            assert rows(st.stalled_runs(got, "5 hours"), "task_id", "first_us", "stalled_us", "updates") == stalled and stalled
+
+
+def _plain_runs(times):
+    runs = []
+    for t in times:
+        if runs and t < runs[-1][1] + 5 * 3600 * 1_000_000:
+            runs[-1] = (runs[-1][0], t, runs[-1][2] + 1)
+        else:
+            runs.append((t, t, 1))
+    return runs
+
+
+def test_closed_tasks_are_forgotten(spark, tmp_path):
+    """With ``keep`` a timer drops the state of a task without news; its answer stays in the sink."""
+    path = str(tmp_path / "log")
+    for k, (day, task, state) in enumerate([(0, 1, "INFO"), (0, 1, "INFO"), (0, 1, "COMPLETED"), (9, 2, "INFO"), (20, 3, "INFO"), (30, 4, "INFO")]):
+        spark.createDataFrame([(T0 + timedelta(days=day, minutes=k), task, state)], "ts timestamp, task_id long, state string").coalesce(1).write.mode("append").parquet(path)
+    st.run_upsert(st.ready_answers(_stream(spark, path), keep="2 days"), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = spark.read.schema(f"{st.ANSWER_SCHEMA}, batch int").parquet(f"{tmp_path}/out/*")
+    assert rows(st.latest(got, ["task_id"], "ready_us"), "task_id", "ready_us") == [(1, _us(T0 + timedelta(minutes=2)))]
+    held = {r["key"]["task_id"] for r in spark.read.format("statestore").load(str(tmp_path / "check")).collect()}
+    assert 1 not in held and 4 in held
+
+
+def test_quantile_buckets_spread_sparse_ids(spark):
+    from rasterloom.operators.ranking import id_rank, quantile_bucket
+
+    r = random.Random(1)
+    ids = sorted({r.randint(0, 1 << 62) for _ in range(300)} | set(range(100)))
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "id long")
+    sizes = rows(df.filter("id IS NOT NULL").groupBy(quantile_bucket(df, "id", 20).alias("b")).count(), "b", "count")
+    assert max(n for _, n in sizes) <= 60 and len(sizes) > 10
+    got = rows(id_rank(df.filter("id IS NOT NULL"), "id"), "id", "rk")
+    assert got == [(v, i + 1) for i, v in enumerate(ids)]
