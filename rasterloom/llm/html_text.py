@@ -23,7 +23,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title xmp iframe noembed noframes plaintext".split())
 CUT = set(
     "script style noscript template textarea title xmp iframe noembed noframes head nav aside footer form button select option "
-    "input label fieldset svg canvas object embed applet audio video map dialog menu math".split()
+    "input label fieldset svg canvas object embed applet audio video map dialog menu".split()
 )
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "

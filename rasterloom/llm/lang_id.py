@@ -194,9 +194,11 @@ def _predict(model: Model, texts: list[str | None]) -> list:
         label[inside] = found[inside]
     letters = np.stack([np.bincount(doc, size * (label == j), n) for j in range(k)], axis=1)
     best, have = letters.argmax(axis=1), letters.sum(axis=1)
+    # marks count as parts of words, but a text of marks alone has no letter
+    lettered = pc.match_substring_regex(pa.array([t or "" for t in texts], pa.string()), r"\pL").to_pylist()
     langs, shares, spans = [], [], []
     for i in range(n):
-        if not have[i]:
+        if not have[i] or not lettered[i]:
             langs.append(UNDETERMINED)
             shares.append(0.0)
             spans.append([])

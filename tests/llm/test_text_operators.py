@@ -366,3 +366,16 @@ def test_texts_with_one_passage_in_common_do_not_all_meet(spark):
     sketch = rows.mapInArrow(near_dup._sketches, near_dup._SKETCH).cache()
     assert sketch.alias("x").join(sketch.alias("y"), (F.col("x.id") < F.col("y.id")) & near_dup._may_link("x", "y")).count() == 0
     assert all(r["class_id"] == r["doc_id"] for r in near_dup.classes(rows.withColumnRenamed("id", "doc_id")).collect())
+
+
+def test_marks_alone_have_no_language(spark):
+    model = lang_id.fit(spark.createDataFrame([("en", "the cat and the dog of the house " * 20), ("ru", "и кошка и собака в доме " * 20)], "lang string, text string"))
+    got = lang_id._predict(model, ["\u0301", "\u0301 \u0301\u0301 12", "the cat\u0301", ""])
+    assert got[0] == ["und", "und", "en", "und"] and got[1][0] == got[1][1] == 0.0
+
+
+def test_formulas_stay_in_the_article(spark):
+    body = "A long enough paragraph of an article, with commas, and words, that scores well, and then some more text. " * 3
+    page = f"<html><body><article><p>{body}</p><p>Let <math><mi>x</mi> = 2</math> hold, {body}</p></article></body></html>"
+    got = html_text.extract(spark.createDataFrame([(1, page)], "page_id bigint, html string")).first()["text"]
+    assert "Let x = 2 hold" in got
