@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -121,14 +123,26 @@ def _candidates(log_text: np.ndarray, texts: list[str | None]) -> list:
     return [out]
 
 
+class Taken:
+    """Spans in order of their start, with the farthest end so far, so that one lookup tells whether any of them overlaps another span."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts = [a for a, _ in spans]
+        self.reach = list(accumulate((b for _, b in spans), max))
+
+    def overlaps(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > start
+
+
 def _spans(log_text: np.ndarray, text_cut: list[int], random_cut: list[int], texts: list[str | None]) -> list:
     out = []
     for t in texts:
         t = t or ""
         spans = base_spans(t)
-        ends = [(a, b) for a, _, b in spans]
+        taken = Taken([(a, b) for a, _, b in spans])
         for m in CANDIDATE.finditer(t):
-            if any(a < m.end() and m.start() < b for a, b in ends):
+            if taken.overlaps(m.start(), m.end()):
                 continue
             p = battery(m[0])
             if p > 0:

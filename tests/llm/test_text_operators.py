@@ -379,3 +379,14 @@ def test_formulas_stay_in_the_article(spark):
     page = f"<html><body><article><p>{body}</p><p>Let <math><mi>x</mi> = 2</math> hold, {body}</p></article></body></html>"
     got = html_text.extract(spark.createDataFrame([(1, page)], "page_id bigint, html string")).first()["text"]
     assert "Let x = 2 hold" in got
+
+
+def test_overlap_lookup_is_the_plain_rule():
+    pick = random.Random(9)
+    for _ in range(200):
+        spans = sorted((a, a + pick.randint(1, 30)) for a in (pick.randint(0, 300) for _ in range(pick.randint(0, 12))))
+        taken = secret_scan.Taken(spans)
+        for _ in range(30):
+            start = pick.randint(0, 320)
+            end = start + pick.randint(1, 25)
+            assert taken.overlaps(start, end) == any(a < end and start < b for a, b in spans)
