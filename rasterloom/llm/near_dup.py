@@ -12,9 +12,13 @@ grows until the edit distance fits. Their similarity is the number of five-word
 windows of both texts; 0.8 or more is a link. A class is a connected set of links.
 
 First each text is compared with one leader of its bucket in ``STARS`` tables, which joins most groups. Then only texts of different
-classes meet: in a bucket of at most ``SMALL`` texts all of them, in a larger one a few leaders, ``LEADERS`` times as
-many each round, with all members of other classes, until all members that never led are in one class: then no pair is left. So
-a group of thousands of like texts costs a few comparisons each, and no partner is capped.
+classes meet: in a bucket of at most ``CROWD`` texts all of them. Larger buckets come of passages that many texts share, or of large groups
+of copies; their texts meet anew by rare windows (``rare_keys``), which loses no link: of n windows 0.8 n at least are in common, so under
+any order of all windows both texts have the first common one among their n - 0.8 n + 1 first. Rare windows come first, so a common passage is
+no key unless a text is hardly anything else, and the places of a shared window bound what two texts can have in common.
+In a group of more than ``SMALL`` texts a few leaders, ``LEADERS`` times as many each round, meet all members of other classes, until all
+members that never led are in one class: then no pair is left. So a group of thousands of like texts costs a few comparisons each, and no
+partner is capped.
 
 Texts without words (null, empty) are a class of their own each. Texts under five words link only to equal ones.
 """
@@ -23,7 +27,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,13 +44,16 @@ K = 5
 TABLES = 32
 TUPLE = 5
 SIMILARITY = 0.8
+CROWD = 32
 SMALL = 256
 STARS = 8
-PAIRS_PER_TASK = 2000
+PAIRS_PER_TASK = 500
 #: Leaders of a large bucket in the first round, and how many times as many there are in each later one.
 LEADERS = 16
-#: Texts of this many windows must share two tables (at a similarity of 0.8 all but one pair in 8,000 do, of long texts all but one in 20,000).
-TWICE = 40
+#: Members of a large group that a task compares with its leaders, about.
+SPREAD = 4096
+#: Windows are ordered by how often their slot was counted; any order is right, this one keeps frequent windows last.
+SLOT_BITS = 18
 #: Texts of ``SHARED`` to ``SHORT`` windows meet by prefixes too.
 SHORT, SHARED = 15, 4
 BITS = 256
@@ -131,6 +138,56 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def windows(plain: list[str]) -> list[np.ndarray | None]:
+    """The labelled windows of each normal text, None under ``K`` words."""
+    split = pc.split_pattern(pa.array(plain, pa.string()), " ")
+    flat = split.flatten().dictionary_encode()
+    named = np.array([xxhash.xxh3_64_intdigest(w) for w in flat.dictionary.to_pylist()], np.uint64)
+    words = named[flat.indices.to_numpy(zero_copy_only=False)]
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    return [kmers(w) if len(w) >= K else None for w in np.split(words, ends[:-1])]
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each slot's windows come in the texts of a task."""
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for a, b in chunks(texts, 2_000_000):
+            for h in windows([normal(t) for t in texts[a:b]]):
+                if h is not None:
+                    np.add.at(counts, _slot(h), 1)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["slot", "c"])
+
+
+def rare_keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest windows of a text, as many as must hold one in common with any text of ``SIMILARITY``, rarest first."""
+    first = np.lexsort((h, counts[_slot(h)]))
+    return h[first[: len(h) - math.ceil(SIMILARITY * len(h)) + 1]]
+
+
+def _rare(counts) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in chunks(texts, 2_000_000):
+                held = [(i, h) for i, h in zip(ids[a:b], windows([normal(t) for t in texts[a:b]])) if h is not None]
+                keys = [rare_keys(h, counts.value) for _, h in held]
+                size = np.array([len(k) for k in keys], np.int64)
+                if not len(size):
+                    continue
+                places = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
+                owners = np.repeat(np.array([i for i, _ in held], np.int64), size)
+                yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(keys).view(np.int64)), pa.array(places)], names=["id", "bucket", "place"])
+
+    return run
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per text; keys and bits are empty where there are fewer than ``K`` words."""
     for batch in batches:
@@ -139,21 +196,14 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             plain = [normal(t) for t in texts[a:b]]
             # 128 bits stand for a text's words; texts without words stay apart by their id
             digest = [xxhash.xxh3_128_hexdigest(t) if t else f"-{i}" for t, i in zip(plain, ids[a:b].to_pylist())]
-            split = pc.split_pattern(pa.array(plain, pa.string()), " ")
-            flat = split.flatten().dictionary_encode()
-            named = np.array([xxhash.xxh3_64_intdigest(w) for w in flat.dictionary.to_pylist()], np.uint64)
-            words = named[flat.indices.to_numpy(zero_copy_only=False)]
-            count = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(count)])
             sizes, keys, bits, held = [], [], [], []
-            for i in range(b - a):
-                if count[i] < K:
+            for h in windows(plain):
+                if h is None:
                     sizes.append(0)
                     keys.append(None)
                     held.append(None)
                     bits.append(np.zeros(4, np.int64))
                     continue
-                h = kmers(words[ends[i] : ends[i + 1]])
                 sizes.append(len(h))
                 keys.append(np.concatenate([order_sketch(h), short_keys(h)]).view(np.int64))
                 bits.append(bit_sketch(h))
@@ -353,19 +403,62 @@ def link_texts(sketch: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame
     pair = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
     links = _links(materialize(star.select(*pair).distinct(), "pairs"), texts)
     labels = components(links)
-    small = met.filter(F.col("m") <= SMALL).select("bucket", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    # a bucket of one class has no pair left
-    mixed = small.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("bucket")
-    small = materialize(small.join(mixed, "bucket", "left_semi").join(bits, "id"), "small")
-    differ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
-    near = small.alias("x").join(small.alias("y"), differ & _may_link("x", "y")).select(*pair, F.least("x.n", "y.n").alias("n"))
-    near = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tables"), F.first("n").alias("n")).filter(F.col("tables") >= F.when(F.col("n") >= TWICE, 2).otherwise(1))
-    found = _links(materialize(near.select("a", "b"), "pairs"), texts)
+    crowded = _mixed(met.filter(F.col("m") > CROWD).select("bucket", "id"), labels)
+    crowd = materialize(texts.join(crowded.select("id").distinct(), "id", "left_semi"), "crowd")
+    if crowd.limit(1).count():
+        labels, links = _by_rare_windows(crowd, bits, texts, labels, links)
+    small = _mixed(met.filter(F.col("m") <= CROWD).select("bucket", "id"), labels)
+    return _all_pairs(small.join(bits, "id"), F.lit(True), texts, labels, links)
+
+
+def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    return groups.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _mixed(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (bucket, id, ...) of groups of more than one class, with their labels; a group of one class has no pair left."""
+    rows = _labelled(groups, labels)
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("bucket")
+    return rows.join(mixed, "bucket", "left_semi")
+
+
+def _pairs(x: DataFrame, y: DataFrame, on: Column) -> DataFrame:
+    """The distinct pairs (a, b) of different classes that may be linked."""
+    met = x.alias("x").join(y.alias("y"), on & (F.col("x.label") != F.col("y.label")) & _may_link("x", "y"))
+    return materialize(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
+
+
+def _all_pairs(groups: DataFrame, allowed: Column, texts: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    groups = materialize(groups, "small")
+    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & allowed
+    return _joined(labels, links, _links(_pairs(groups, groups, on), texts))
+
+
+def _by_rare_windows(crowd: DataFrame, bits: DataFrame, texts: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels and links after the texts of ``crowd`` have met by their rare windows: no link between two of them is missed.
+
+    The counts that order the windows are ``2 ** SLOT_BITS`` numbers whatever the input. If a pair's first shared window has the places i and j,
+    what comes before is not in common; each group tests that bound as if its window were the first, which holds for one of them.
+    """
+    slots = crowd.select("text").mapInArrow(_slots, "slot int, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[slots["slot"].to_numpy(np.int64)] = slots["c"].to_numpy(np.int64)
+    shared = crowd.sparkSession.sparkContext.broadcast(counts)
+    keyed = materialize(crowd.select("id", "text").mapInArrow(_rare(shared), "id bigint, bucket bigint, place int"), "rare")
+    # the text with the fewest windows of its own is likest to the others
+    best = F.min_by(F.struct("id", "place"), F.struct("place", F.xxhash64("id"), "id"))
+    size = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), best.alias("lead")).filter("m > 1")
+    met = materialize(keyed.join(size, "bucket").join(bits, "id"), "rare-groups")
+    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    allowed = most >= F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("x.n") + F.col("y.n"))
+    rows = _mixed(met, labels)
+    lead = _labelled(size.select(F.col("lead.id").alias("id"), F.col("lead.place").alias("place"), "bucket").join(bits, "id"), labels)
+    found = _links(_pairs(lead, rows, (F.col("x.bucket") == F.col("y.bucket")) & allowed), texts)
     labels, links = _joined(labels, links, found)
-    large = met.filter(F.col("m") > SMALL).select("bucket", "id", "m")
+    large = met.filter(F.col("m") > SMALL).drop("lead")
     if large.limit(1).count():
-        labels, links = _settle(materialize(large.join(bits, "id"), "large"), texts, labels, links)
-    return labels, links
+        labels, links = _settle(large, allowed, texts, labels, links)
+    return _all_pairs(_mixed(met.filter(F.col("m") <= SMALL).drop("lead"), labels), allowed, texts, labels, links)
 
 
 def _joined(labels: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -376,24 +469,25 @@ def _joined(labels: DataFrame, links: DataFrame, found: DataFrame) -> tuple[Data
     return components(stars.union(found)), links.union(found)
 
 
-def _settle(large: DataFrame, texts: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Compares the members of large buckets by rounds of leaders; see the head of this module."""
-    draw = (F.shiftrightunsigned(F.xxhash64("bucket", "id", F.lit("lead")), 11) / F.lit(float(1 << 53))) * F.col("m")
-    large = large.withColumn("draw", draw)
+def _settle(large: DataFrame, allowed: Column, texts: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Compares the members of large groups by rounds of leaders; see the head of this module.
+
+    A text that leads in one of its groups leads in all of about their size. Members are dealt to parts of about ``SPREAD``, leaders go to each part.
+    """
+    draw = (F.shiftrightunsigned(F.xxhash64("id", F.lit("lead")), 11) / F.lit(float(1 << 53))) * F.col("m")
+    parts = F.ceil(F.col("m") / SPREAD)
+    large = large.withColumn("draw", draw).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), parts))
     low, high = 0.0, float(LEADERS)
     while True:
-        now = large.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        now = _labelled(large, labels)
         open_ = now.filter(F.col("draw") >= low).groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
         open_ = open_.filter("least < most").select("bucket")
         now = materialize(now.join(open_, "bucket", "left_semi"), "open")
         if not now.limit(1).count():
             return labels, links
-        lead = now.filter((F.col("draw") >= low) & (F.col("draw") < high))
-        met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
-        pairs = lead.alias("x").join(now.alias("y"), met & _may_link("x", "y"))
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        found = _links(materialize(pairs, "pairs"), texts)
-        labels, links = _joined(labels, links, found)
+        lead = now.filter((F.col("draw") >= low) & (F.col("draw") < high)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part")) & allowed
+        labels, links = _joined(labels, links, _links(_pairs(lead, now, on), texts))
         large, low, high = now.drop("label"), high, high * LEADERS
 
 
