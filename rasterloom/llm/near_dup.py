@@ -15,7 +15,8 @@ First each text is compared with one leader of its bucket in ``STARS`` tables, w
 classes meet: in a bucket of at most ``CROWD`` texts all of them. Larger buckets come of passages that many texts share, or of large groups
 of copies; their texts meet anew by rare windows (``rare_keys``), which loses no link: of n windows 0.8 n at least are in common, so under
 any order of all windows both texts have the first common one among their n - 0.8 n + 1 first. Rare windows come first, so a common passage is
-no key unless a text is hardly anything else, and the places of a shared window bound what two texts can have in common.
+no key unless a text is hardly anything else, and the places of a shared window bound what two texts can have in common. Of the smaller text
+8 windows in 9 at least are in common, so only windows among the first n / 9 + 1 of some text, and texts of a size that fits, make a group.
 In a group of more than ``SMALL`` texts a few leaders, ``LEADERS`` times as many each round, meet all members of other classes, until all
 members that never led are in one class: then no pair is left. So a group of thousands of like texts costs a few comparisons each, and no
 partner is capped.
@@ -183,7 +184,9 @@ def _rare(counts) -> Callable:
                     continue
                 places = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
                 owners = np.repeat(np.array([i for i, _ in held], np.int64), size)
-                yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(keys).view(np.int64)), pa.array(places)], names=["id", "bucket", "place"])
+                of = np.repeat(np.array([len(h) for _, h in held], np.int32), size)
+                found = [pa.array(owners), pa.array(np.concatenate(keys).view(np.int64)), pa.array(places), pa.array(of)]
+                yield pa.RecordBatch.from_arrays(found, names=["id", "bucket", "place", "of"])
 
     return run
 
@@ -444,11 +447,15 @@ def _by_rare_windows(crowd: DataFrame, bits: DataFrame, texts: DataFrame, labels
     counts = np.zeros(1 << SLOT_BITS, np.int64)
     counts[slots["slot"].to_numpy(np.int64)] = slots["c"].to_numpy(np.int64)
     shared = crowd.sparkSession.sparkContext.broadcast(counts)
-    keyed = materialize(crowd.select("id", "text").mapInArrow(_rare(shared), "id bigint, bucket bigint, place int"), "rare")
+    keyed = materialize(crowd.select("id", "text").mapInArrow(_rare(shared), "id bigint, bucket bigint, place int, of int"), "rare")
     # the text with the fewest windows of its own is likest to the others
     best = F.min_by(F.struct("id", "place"), F.struct("place", F.xxhash64("id"), "id"))
-    size = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), best.alias("lead")).filter("m > 1")
-    met = materialize(keyed.join(size, "bucket").join(bits, "id"), "rare-groups")
+    # the smaller text of a pair shares 8 in 9 of its windows at least, so the first shared one is among its first n / 9 + 1
+    early = F.col("place") * 9 <= F.col("of")
+    sizes = F.min(F.when(early, F.col("of"))).alias("least"), F.max(F.when(early, F.col("of"))).alias("most")
+    size = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), best.alias("lead"), *sizes).filter("m > 1 and least is not null")
+    partner = early | ((F.col("least") <= F.col("of")) & (F.col("most") >= F.lit(SIMILARITY) * F.col("of")))
+    met = materialize(keyed.join(size, "bucket").filter(partner).drop("of", "least", "most").join(bits, "id"), "rare-groups")
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     allowed = most >= F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("x.n") + F.col("y.n"))
     rows = _mixed(met, labels)
@@ -479,13 +486,14 @@ def _settle(large: DataFrame, allowed: Column, texts: DataFrame, labels: DataFra
     large = large.withColumn("draw", draw).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), parts))
     low, high = 0.0, float(LEADERS)
     while True:
-        now = _labelled(large, labels)
-        open_ = now.filter(F.col("draw") >= low).groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        # who led before has met all others
+        now = _labelled(large.filter(F.col("draw") >= low), labels)
+        open_ = now.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
         open_ = open_.filter("least < most").select("bucket")
         now = materialize(now.join(open_, "bucket", "left_semi"), "open")
         if not now.limit(1).count():
             return labels, links
-        lead = now.filter((F.col("draw") >= low) & (F.col("draw") < high)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        lead = now.filter(F.col("draw") < high).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
         on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part")) & allowed
         labels, links = _joined(labels, links, _links(_pairs(lead, now, on), texts))
         large, low, high = now.drop("label"), high, high * LEADERS

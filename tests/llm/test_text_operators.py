@@ -144,6 +144,41 @@ def test_near_duplicates_of_a_large_bucket(spark, monkeypatch):
     assert (got[100], got[101], got[102], got[103], got[104]) == (100, 101, 102, 103, 103)
 
 
+def test_near_duplicates_of_a_common_passage(spark, monkeypatch):
+    """Unlike texts with one passage in common crowd a bucket; rare windows find the near copies among them and nothing else."""
+    monkeypatch.setattr(near_dup, "CROWD", 4)
+    monkeypatch.setattr(near_dup, "SMALL", 8)
+    pick = random.Random(5)
+    passage, rows = [f"p{k}" for k in range(45)], {}
+    for i in range(60):
+        own = [f"t{i // 2}w{k}" for k in range(30)]
+        if i % 2:  # a copy with words added or lost at an end, or one word changed
+            own = [own[2:], own + [f"e{i}a", f"e{i}b"], own[:-1] + [f"e{i}"]][pick.randrange(3)]
+        rows[i] = passage + own if i % 4 < 2 else own + passage
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id bigint, text string")).collect()}
+    bag = {i: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in rows.items()}
+    for i in rows:
+        for j in range(i):
+            common = (bag[i] & bag[j]).total()
+            alike = common >= 0.8 * (bag[i].total() + bag[j].total() - common)
+            assert alike == (i // 2 == j // 2) == (got[i] == got[j])
+
+
+def test_first_shared_window_is_early_in_the_smaller_text():
+    pick = np.random.default_rng(6)
+    counts = pick.integers(0, 9, 1 << near_dup.SLOT_BITS)
+    for _ in range(500):
+        n = int(pick.integers(1, 80))
+        m = int(pick.integers(n, int(1.25 * n) + 1))
+        h = pick.integers(0, 2**63, n + m, dtype=np.uint64) << np.uint64(1)
+        common = -(-4 * (n + m) // 9)
+        if common > n:
+            continue
+        small, large = (near_dup.rare_keys(x, counts).tolist() for x in (h[:n], np.concatenate([h[:common], h[n : n + m - common]])))
+        met = [k for k, w in enumerate(small) if w in set(large)]
+        assert met and met[0] * 9 <= n
+
+
 def test_verified_pairs_are_not_called_links(spark):
     t = " ".join(f"w{i}" for i in range(9))
     got = near_dup.classes(spark.createDataFrame([(1, t), (2, t + " x"), (3, "other")], "doc_id bigint, text string"))
