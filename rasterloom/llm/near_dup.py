@@ -15,11 +15,12 @@ First each text is compared with one leader of its bucket in ``STARS`` tables, w
 classes meet: in a bucket of at most ``CROWD`` texts all of them. Larger buckets come of passages that many texts share, or of large groups
 of copies; their texts meet anew by rare windows (``rare_keys``), which loses no link: of n windows 0.8 n at least are in common, so under
 any order of all windows both texts have the first common one among their n - 0.8 n + 1 first. Rare windows come first, so a common passage is
-no key unless a text is hardly anything else, and the places of a shared window bound what two texts can have in common. Of the smaller text
-8 windows in 9 at least are in common, so only windows among the first n / 9 + 1 of some text, and texts of a size that fits, make a group.
-In a group of more than ``SMALL`` texts a few leaders, ``LEADERS`` times as many each round, meet all members of other classes, until all
-members that never led are in one class: then no pair is left. So a group of thousands of like texts costs a few comparisons each, and no
-partner is capped.
+no key unless a text is hardly anything else, and the places of a shared window bound what two texts can have in common. A window that no other
+text holds is no key, whatever its rank. Of the smaller text 8 windows in 9 at least are in common, so only windows among the first n / 9 + 1 of
+some text, and texts of a size that fits, make a group.
+Of a group with at most ``SMALL`` texts outside its largest class these meet all members, which leaves no pair of two classes. In any other group a
+few leaders, ``LEADERS`` times as many each round, meet all members of other classes, until few are outside or all members that never led
+are in one class. So a group of thousands of like texts costs a few comparisons each, and no partner is capped.
 
 Texts without words (null, empty) are a class of their own each. Texts under five words link only to equal ones.
 """
@@ -46,15 +47,15 @@ TABLES = 32
 TUPLE = 5
 SIMILARITY = 0.8
 CROWD = 32
-SMALL = 256
+SMALL = 512
 STARS = 8
 PAIRS_PER_TASK = 500
 #: Leaders of a large bucket in the first round, and how many times as many there are in each later one.
 LEADERS = 16
 #: Members of a large group that a task compares with its leaders, about.
 SPREAD = 4096
-#: Windows are ordered by how often their slot was counted; any order is right, this one keeps frequent windows last.
-SLOT_BITS = 18
+#: Windows are ordered by how often their slot was counted; any order is right, this one keeps frequent windows last. Slots are counted in blocks.
+SLOT_BITS, BLOCK_BITS = 22, 14
 #: Texts of ``SHARED`` to ``SHORT`` windows meet by prefixes too.
 SHORT, SHARED = 15, 4
 BITS = 256
@@ -154,8 +155,8 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each slot's windows come in the texts of a task."""
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    """How often each slot's windows come in the texts of a task, 255 at most: a row per block of slots."""
+    counts = np.zeros(1 << SLOT_BITS, np.int32)
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for a, b in chunks(texts, 2_000_000):
@@ -163,7 +164,32 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if h is not None:
                     np.add.at(counts, _slot(h), 1)
     used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["slot", "c"])
+    block = used >> BLOCK_BITS
+    at, c = (used & ((1 << BLOCK_BITS) - 1)).astype(np.uint16), np.minimum(counts[used], 255).astype(np.uint8)
+    firsts = np.flatnonzero(np.diff(block, prepend=-1))
+    spans = list(zip(firsts, [*firsts[1:], len(used)]))
+    held = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (at, c)]
+    yield pa.RecordBatch.from_arrays([pa.array(block[firsts].astype(np.int32)), *held], names=["block", "at", "c"])
+
+
+def _block_codes(key, rows):
+    """The codes of a block's slots: 0 and 1 for a sum of 0 and 1, larger ones for larger sums."""
+    import pandas as pd
+
+    total = np.zeros(1 << BLOCK_BITS, np.int64)
+    for at, c in zip(rows["at"], rows["c"]):
+        total[np.frombuffer(at, np.uint16)] += np.frombuffer(c, np.uint8)
+    code = np.where(total < 2, total, np.minimum(255, 2 + np.floor(8 * np.log2(np.maximum(total, 2) / 2)))).astype(np.uint8)
+    return pd.DataFrame({"block": [key[0]], "codes": [code.tobytes()]})
+
+
+def slot_codes(crowd: DataFrame) -> np.ndarray:
+    """A byte per slot that orders slots by their count; at most 1 where a single text holds its windows. Its size is the same for any input."""
+    codes = np.zeros((1 << SLOT_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint8)
+    counted = crowd.select("text").mapInArrow(_slots, "block int, at binary, c binary")
+    for r in counted.groupBy("block").applyInPandas(_block_codes, "block int, codes binary").collect():
+        codes[r["block"]] = np.frombuffer(r["codes"], np.uint8)
+    return codes.ravel()
 
 
 def rare_keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -179,10 +205,13 @@ def _rare(counts) -> Callable:
             for a, b in chunks(texts, 2_000_000):
                 held = [(i, h) for i, h in zip(ids[a:b], windows([normal(t) for t in texts[a:b]])) if h is not None]
                 keys = [rare_keys(h, counts.value) for _, h in held]
+                # no other text holds a window that was counted once
+                places = [np.flatnonzero(counts.value[_slot(k)] > 1).astype(np.int32) for k in keys]
+                keys = [k[p] for k, p in zip(keys, places)]
                 size = np.array([len(k) for k in keys], np.int64)
-                if not len(size):
+                if not size.any():
                     continue
-                places = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
+                places = np.concatenate(places)
                 owners = np.repeat(np.array([i for i, _ in held], np.int64), size)
                 of = np.repeat(np.array([len(h) for _, h in held], np.int32), size)
                 found = [pa.array(owners), pa.array(np.concatenate(keys).view(np.int64)), pa.array(places), pa.array(of)]
@@ -399,19 +428,22 @@ def link_texts(sketch: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame
     size = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), lead).filter("m > 1")
     met = materialize(keyed.join(size, "bucket"), "buckets")
     # only texts that meet another one are moved, once
-    texts = materialize(rows.join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    bits = sketch.drop("keys")
+    meeting = materialize(met.select("id").distinct(), "meeting")
+    texts = materialize(rows.join(meeting, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    bits = materialize(sketch.drop("keys").join(meeting, "id", "left_semi"), "bits")
     star = met.filter((F.col("t") < STARS) & (F.col("id") != F.col("lead"))).select("id", "lead").distinct()
     star = star.join(bits.alias("x"), F.col("lead") == F.col("x.id")).join(bits.alias("y"), star["id"] == F.col("y.id")).filter(_may_link("x", "y"))
     pair = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
     links = _links(materialize(star.select(*pair).distinct(), "pairs"), texts)
     labels = components(links)
+    # keys of a small bucket have no order, so its texts meet whatever they share
+    groups = met.filter(F.col("m") <= CROWD).select("bucket", "id", F.lit(0).alias("place"), "m")
     crowded = _mixed(met.filter(F.col("m") > CROWD).select("bucket", "id"), labels)
     crowd = materialize(texts.join(crowded.select("id").distinct(), "id", "left_semi"), "crowd")
     if crowd.limit(1).count():
-        labels, links = _by_rare_windows(crowd, bits, texts, labels, links)
-    small = _mixed(met.filter(F.col("m") <= CROWD).select("bucket", "id"), labels)
-    return _all_pairs(small.join(bits, "id"), F.lit(True), texts, labels, links)
+        rare, labels, links = _by_rare_windows(crowd, bits, texts, labels, links)
+        groups = groups.union(rare)
+    return _settle(groups, bits, texts, labels, links)
 
 
 def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
@@ -431,22 +463,20 @@ def _pairs(x: DataFrame, y: DataFrame, on: Column) -> DataFrame:
     return materialize(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
 
 
-def _all_pairs(groups: DataFrame, allowed: Column, texts: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    groups = materialize(groups, "small")
-    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & allowed
-    return _joined(labels, links, _links(_pairs(groups, groups, on), texts))
+def _may_share(x: str, y: str) -> Column:
+    """Whether two texts may have 4 in 9 of the windows of both in common if all that is comes at or after these places; in whole numbers."""
+    most = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place"))
+    return most * 9 >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * 4
 
 
-def _by_rare_windows(crowd: DataFrame, bits: DataFrame, texts: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labels and links after the texts of ``crowd`` have met by their rare windows: no link between two of them is missed.
+def _by_rare_windows(crowd: DataFrame, bits: DataFrame, texts: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups (bucket, id, place, m) by the rare windows of ``crowd``, which hold each pair of two texts that may be linked, and the labels
+    and links after each has met the leader of its groups.
 
-    The counts that order the windows are ``2 ** SLOT_BITS`` numbers whatever the input. If a pair's first shared window has the places i and j,
-    what comes before is not in common; each group tests that bound as if its window were the first, which holds for one of them.
+    If a pair's first shared window has the places i and j, what comes before is not in common; each group tests that bound as if its window
+    were the first, which holds for one of them.
     """
-    slots = crowd.select("text").mapInArrow(_slots, "slot int, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    counts[slots["slot"].to_numpy(np.int64)] = slots["c"].to_numpy(np.int64)
-    shared = crowd.sparkSession.sparkContext.broadcast(counts)
+    shared = crowd.sparkSession.sparkContext.broadcast(slot_codes(crowd))
     keyed = materialize(crowd.select("id", "text").mapInArrow(_rare(shared), "id bigint, bucket bigint, place int, of int"), "rare")
     # the text with the fewest windows of its own is likest to the others
     best = F.min_by(F.struct("id", "place"), F.struct("place", F.xxhash64("id"), "id"))
@@ -455,17 +485,11 @@ def _by_rare_windows(crowd: DataFrame, bits: DataFrame, texts: DataFrame, labels
     sizes = F.min(F.when(early, F.col("of"))).alias("least"), F.max(F.when(early, F.col("of"))).alias("most")
     size = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), best.alias("lead"), *sizes).filter("m > 1 and least is not null")
     partner = early | ((F.col("least") <= F.col("of")) & (F.col("most") >= F.lit(SIMILARITY) * F.col("of")))
-    met = materialize(keyed.join(size, "bucket").filter(partner).drop("of", "least", "most").join(bits, "id"), "rare-groups")
-    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    allowed = most >= F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("x.n") + F.col("y.n"))
-    rows = _mixed(met, labels)
-    lead = _labelled(size.select(F.col("lead.id").alias("id"), F.col("lead.place").alias("place"), "bucket").join(bits, "id"), labels)
-    found = _links(_pairs(lead, rows, (F.col("x.bucket") == F.col("y.bucket")) & allowed), texts)
-    labels, links = _joined(labels, links, found)
-    large = met.filter(F.col("m") > SMALL).drop("lead")
-    if large.limit(1).count():
-        labels, links = _settle(large, allowed, texts, labels, links)
-    return _all_pairs(_mixed(met.filter(F.col("m") <= SMALL).drop("lead"), labels), allowed, texts, labels, links)
+    met = materialize(keyed.join(size, "bucket").filter(partner).select("bucket", "id", "place", "m", "lead"), "rare-groups")
+    rows = _mixed(met, labels).join(bits, "id")
+    lead = _labelled(met.select(F.col("lead.id").alias("id"), F.col("lead.place").alias("place"), "bucket").distinct().join(bits, "id"), labels)
+    found = _links(_pairs(lead, rows, (F.col("x.bucket") == F.col("y.bucket")) & _may_share("x", "y")), texts)
+    return met.drop("lead"), *_joined(labels, links, found)
 
 
 def _joined(labels: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -476,27 +500,32 @@ def _joined(labels: DataFrame, links: DataFrame, found: DataFrame) -> tuple[Data
     return components(stars.union(found)), links.union(found)
 
 
-def _settle(large: DataFrame, allowed: Column, texts: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Compares the members of large groups by rounds of leaders; see the head of this module.
+def _settle(groups: DataFrame, bits: DataFrame, texts: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels and links after the members of all groups (bucket, id, place, m) have met, by rounds; see the head of this module.
 
     A text that leads in one of its groups leads in all of about their size. Members are dealt to parts of about ``SPREAD``, leaders go to each part.
     """
     draw = (F.shiftrightunsigned(F.xxhash64("id", F.lit("lead")), 11) / F.lit(float(1 << 53))) * F.col("m")
     parts = F.ceil(F.col("m") / SPREAD)
-    large = large.withColumn("draw", draw).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), parts))
+    groups = groups.withColumn("draw", draw).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), parts))
     low, high = 0.0, float(LEADERS)
     while True:
         # who led before has met all others
-        now = _labelled(large.filter(F.col("draw") >= low), labels)
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-        open_ = open_.filter("least < most").select("bucket")
-        now = materialize(now.join(open_, "bucket", "left_semi"), "open")
+        now = _labelled(groups.filter(F.col("draw") >= low), labels)
+        sizes = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+        outside = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("top"), (F.sum("k") - F.max("k")).alias("outside"))
+        now = materialize(now.join(outside.filter("outside > 0"), "bucket").join(bits, "id"), "open")
         if not now.limit(1).count():
             return labels, links
-        lead = now.filter(F.col("draw") < high).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-        on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part")) & allowed
+        few = F.col("outside") <= SMALL
+        lead = now.filter((few & (F.col("label") != F.col("top"))) | (~few & (F.col("draw") < high)))
+        lead = lead.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part")) & _may_share("x", "y")
         labels, links = _joined(labels, links, _links(_pairs(lead, now, on), texts))
-        large, low, high = now.drop("label"), high, high * LEADERS
+        groups = now.filter(~few).select("bucket", "id", "place", "m", "draw", "part")
+        if not groups.limit(1).count():
+            return labels, links
+        low, high = high, high * LEADERS
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", column: str = "text") -> DataFrame:

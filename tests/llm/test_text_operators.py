@@ -179,6 +179,47 @@ def test_first_shared_window_is_early_in_the_smaller_text():
         assert met and met[0] * 9 <= n
 
 
+def test_windows_of_one_text_make_no_rows(spark):
+    """Texts with one passage in common: a row is made for shared windows only, in rows bounded by what texts share, and the near copies still meet."""
+    passage = [f"p{k}" for k in range(40)]
+    rows = [(i, " ".join([f"t{i}w{k}" for k in range(120)] + passage)) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(5)]
+    crowd = spark.createDataFrame(rows, "id bigint, text string")
+    codes = near_dup.slot_codes(crowd)
+    assert len(codes) == 1 << near_dup.SLOT_BITS
+    keyed = crowd.mapInArrow(near_dup._rare(spark.sparkContext.broadcast(codes)), "id bigint, bucket bigint, place int, of int")
+    got = defaultdict(set)
+    for i, bucket in rows_of(keyed, "id", "bucket"):
+        got[bucket].add(i)
+    # only slots that two windows share by chance may add to the windows of copies
+    assert sum(map(len, got.values())) < 5 * 2 * 40
+    assert all(any({i, 100 + i} <= v for v in got.values()) for i in range(5))
+
+
+def test_shared_windows_are_bounded_in_whole_numbers(spark):
+    """28 windows inside 35 are a share of 0.8, which 28 >= (0.8 / 1.8) * 63 denies in doubles."""
+    sizes = [(s * 4 // 9, s - s * 4 // 9) for s in range(9, 2000, 9)]
+    rows = spark.createDataFrame(sizes, "n int, m int")
+    x = rows.select("m", F.struct("n", F.lit(0).alias("place")).alias("x"), F.struct(F.col("m").alias("n"), F.lit(0).alias("place")).alias("y"))
+    assert x.filter(near_dup._may_share("x", "y")).count() == len(sizes)
+
+
+def test_near_duplicates_outside_a_large_class(spark, monkeypatch):
+    """Groups of one large class and more texts outside than are compared at once, and of fewer: both find every link."""
+    monkeypatch.setattr(near_dup, "CROWD", 4)
+    monkeypatch.setattr(near_dup, "LEADERS", 2)
+    passage, rows = [f"p{k}" for k in range(60)], {}
+    for i in range(30):  # one class: a word changed
+        rows[i] = [*passage, "tail", f"e{i}"]
+    for i in range(30, 54):  # pairs that share the passage only
+        rows[i] = passage + [f"t{i // 2}w{k}" for k in range(40)] + [f"e{i}"] * (i % 2)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id bigint, text string")
+    want = {i: 0 if i < 30 else i - i % 2 for i in rows}
+    for small in (2, 100):
+        monkeypatch.setattr(near_dup, "SMALL", small)
+        assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()} == want
+
+
 def test_verified_pairs_are_not_called_links(spark):
     t = " ".join(f"w{i}" for i in range(9))
     got = near_dup.classes(spark.createDataFrame([(1, t), (2, t + " x"), (3, "other")], "doc_id bigint, text string"))
