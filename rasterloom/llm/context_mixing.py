@@ -17,12 +17,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rasterloom.llm.common import WORD, chunks, find_package
@@ -42,7 +42,9 @@ TASK_TOKENS = 2_000_000
 PLACES, REFINE = 6, 33
 #: A word is scored in pieces of at most this many bytes; contexts do not reach over a cut.
 PIECE = 64
-BATCH = 4096
+#: Tokens handled at once, and those that are gathered to be counted or scored and sorted by length first, so that few rows outlive the rest of their batch.
+BATCH, GATHER = 4096, 40_000
+#: Words of a text and lower case in plain Python; ``split_words`` does the same for many texts.
 words_of = re.compile(WORD).findall
 LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 
@@ -129,9 +131,8 @@ def bits(model: Mixer, words: list[str], times: np.ndarray, learn: bool) -> np.n
             bit, node = (byte >> (7 - b)) & 1, (1 << b) | (byte >> (8 - b))
             at = slots(context, node)
             if learn:
-                seen = model.counts[at]
                 one = bit.astype(np.float32)
-                x = stretched(np.maximum(seen[:, :, 0] - (1 - one), 0), np.maximum(seen[:, :, 1] - one, 0))
+                x = stretched(np.maximum(model.counts[at, 0] - (1 - one), 0), np.maximum(model.counts[at, 1] - one, 0))
             else:
                 x = model.odds[at]
             gate = min(t, PLACES - 1) * 8 + b
@@ -142,8 +143,10 @@ def bits(model: Mixer, words: list[str], times: np.ndarray, learn: bool) -> np.n
                 w = share[live]
                 # a gradient step, scaled by the curvature met so far at this gate: large at first, then ever smaller
                 model.curve[gate] += (x * (w * (p * (1 - p) + 1e-3))) @ x.T
-                model.weights[gate] += np.linalg.solve(model.curve[gate], (x * (w * (bit - p))).sum(axis=1))
-                np.add.at(model.refine, (last, cell), np.stack([w * bit, w * p, w], axis=1))
+                model.weights[gate] += np.linalg.solve(model.curve[gate], x @ (w * (one - p)))
+                where = last * REFINE + cell
+                for i, met in enumerate((w * one, w * p, w)):
+                    model.refine[:, :, i] += np.bincount(where, met, 256 * REFINE).reshape(256, REFINE)
             else:
                 final = np.clip(1 / (1 + np.exp(-mixed - model.shift[last, cell])), 1e-7, 1 - 1e-7)
                 cost += np.bincount(of[live], -np.log2(np.where(bit == 1, final, 1 - final)), len(words))
@@ -164,24 +167,57 @@ def refined(refine: np.ndarray) -> np.ndarray:
     return np.clip(odds(met) - odds(expected), -3, 3)
 
 
-def lowered(text: Column) -> Column:
-    upper = "".join(map(chr, range(65, 91)))
-    return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lowered, one after another, and the place of each one's text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    # white space at an end leaves an empty piece there
+    flat = split.flatten()
+    held = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(held), of[held.to_numpy(zero_copy_only=False)]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of each chunk of texts with their counts in training documents and in all."""
+    for batch in batches:
+        for a, b in chunks(batch.column(1).to_pylist(), 4_000_000):
+            words, of = split_words(batch.column(1).slice(a, b - a))
+            coded, train = words.dictionary_encode(), batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
+            at, size = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+            counts = [np.bincount(at[k], minlength=size).astype(np.int64) for k in (train[of].astype(bool), slice(None))]
+            yield pa.RecordBatch.from_arrays([coded.dictionary, *map(pa.array, counts)], names=["token", "c", "n"])
 
 
 def token_table(docs: DataFrame) -> DataFrame:
     """(token, c, n): each token's count in training documents and in all. ``docs`` has text and train."""
-    words = F.filter(F.split(lowered(F.col("text")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    tokens = docs.select("train", F.explode(words).alias("token"))
-    return tokens.groupBy("token").agg(F.sum(F.col("train").cast("bigint")).alias("c"), F.count(F.lit(1)).alias("n"))
+    tokens = docs.select("train", "text").mapInArrow(_counted, "token string, c bigint, n bigint")
+    return tokens.groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``GATHER`` or more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= GATHER:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _by_length(tokens: pa.Array) -> Iterator[np.ndarray]:
+    """Rows of like length, ``BATCH`` at once."""
+    order = np.argsort(pc.binary_length(tokens).to_numpy(zero_copy_only=False), kind="stable")
+    for a in range(0, len(order), BATCH):
+        yield order[a : a + BATCH]
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
     for batch in batches:
         words, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        order = np.argsort([len(w) for w in words], kind="stable")  # rows of like length fill the arrays
-        for a in range(0, len(words), BATCH):
-            at = order[a : a + BATCH]
+        for at in _by_length(batch.column(0)):
             yield [words[i] for i in at], times[at]
 
 
@@ -192,7 +228,7 @@ def fit(spark: SparkSession, known: DataFrame) -> Mixer:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((SLOTS, 2), np.float32)
-        for words, times in _word_batches(batches):
+        for words, times in _word_batches(_gathered(batches)):
             add_counts(counts, words, times)
         flat = counts.reshape(-1, BLOCK)
         used = np.flatnonzero(flat.any(axis=1))
@@ -259,11 +295,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", column: str =
     shared = spark.sparkContext.broadcast(model)
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             words = batch.column(0).to_pylist()
-            got, order = np.zeros(len(words)), np.argsort([len(w) for w in words], kind="stable")
-            for a in range(0, len(words), BATCH):
-                at = order[a : a + BATCH]
+            got = np.zeros(len(words))
+            for at in _by_length(batch.column(0)):
                 got[at] = bits(shared.value, [words[i] for i in at], np.zeros(len(at)), learn=False)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=["token", "c", "n", "bits"])
 
@@ -279,29 +314,26 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", column: str =
     head = spark.sparkContext.broadcast({t: (int(c > 0), math.log10(c + 1) - log_base, go_on - b * math.log10(2)) for t, (c, b) in head.items()})
 
     def known_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = head.value.get
+        get, none = head.value.get, (0, 0.0, 0.0)
+        ends_with = int(known_end["c"] > 0), known_end["base"], known_end["score"]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts, 4_000_000):
-                out: list[list] = [[] for _ in range(7)]
-                for t in texts[a:b]:
-                    words = words_of((t or "").translate(LOWER)) if t else []
-                    rest, known, base, full = [], int(known_end["c"] > 0), known_end["base"], known_end["score"]
-                    for w in words:
-                        got = get(w)
-                        if got is None:
-                            rest.append(w)
-                        else:
-                            known += got[0]
-                            base += got[1]
-                            full += got[2]
-                    times = Counter(rest)
-                    size = len(" ".join(words).encode("utf-8", "replace")) + 1
-                    for o, x in zip(out, (len(words) + 1, size, known, base, full, list(times), list(times.values()))):
-                        o.append(x)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            for a, b in chunks(batch.column(1).to_pylist(), 4_000_000):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *[pa.array(o, t) for o, t in zip(out, types)]], names=names)
+                words, of = split_words(part.column(1))
+                coded, n = words.dictionary_encode(), len(part)
+                at, got = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), [get(w) for w in coded.dictionary.to_pylist()]
+                value = np.array([g or none for g in got], np.float64).reshape(-1, 3)
+                known, base, full = (np.bincount(of, value[at, i], n) + x for i, x in enumerate(ends_with))
+                n_words = np.bincount(of, minlength=n)
+                # a space between words and the end, a byte each
+                size = np.bincount(of, pc.binary_length(words).to_numpy(zero_copy_only=False), n).astype(np.int64) + np.maximum(n_words, 1)
+                tail = ~np.array([g is not None for g in got], bool)[at]
+                pairs, times = np.unique(of[tail] * len(got) + at[tail], return_counts=True)
+                starts = pa.array(np.searchsorted(pairs, np.arange(n + 1) * len(got)).astype(np.int32))
+                rest = coded.dictionary.take(pa.array(pairs % max(1, len(got))))
+                lists = [pa.ListArray.from_arrays(starts, x) for x in (rest, pa.array(times.astype(np.int64)))]
+                columns = [n_words.astype(np.int64) + 1, size, known.astype(np.int64), base, full]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, columns), *lists], names=names)
 
     id_type = dict(rows.dtypes)["id"]
     names = ["id", "train", "n_tokens", "n_bytes", "known", "base", "full", "rest", "times"]

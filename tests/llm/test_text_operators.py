@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -375,6 +376,39 @@ def test_base_scores(spark, texts):
         assert r["score"] < 0 and 0 < r["bits_per_byte"] < 8
 
 
+def test_tokens_of_many_texts_are_counted_and_scored_like_plain_words(spark):
+    """Words are split, counted and joined by whole chunks: one row per distinct token and chunk, the same words as one by one."""
+    pick = random.Random(8)
+    signs = "aBÀéİ漢\x00\x1c\x1f\x85\xa0\u2003 \t\n\x0b\x0c\r"
+    rows = [(i, "".join(pick.choices(signs, k=pick.randint(0, 60)))) for i in range(300)] + [(300, None), (301, ""), (302, " \n"), (303, "x y " * 2000)]
+    plain = {i: context_mixing.words_of((t or "").translate(context_mixing.LOWER)) for i, t in rows}
+    words, of = context_mixing.split_words(pa.array([t for _, t in rows]))
+    assert list(zip(of.tolist(), words.to_pylist())) == [(k, w) for k, (i, _) in enumerate(rows) for w in plain[i]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    c, n = Counter(w for i in plain if i % 3 for w in plain[i]), Counter(w for i in plain for w in plain[i])
+    made = list(context_mixing._counted(iter([pa.record_batch([pa.array([i % 3 != 0 for i, _ in rows]), pa.array([t for _, t in rows])], names=["train", "text"])])))
+    assert sum(b.num_rows for b in made) == len(n)
+    table = context_mixing.token_table(df.select((F.col("doc_id") % 3 != 0).alias("train"), "text"))
+    assert {r["token"]: (r["c"], r["n"]) for r in table.collect()} == {w: (c[w], k) for w, k in n.items()}
+
+
+@pytest.mark.parametrize("head", [0, 3, 150_000])
+def test_scores_do_not_depend_on_the_head(spark, monkeypatch, head):
+    """Frequent tokens by broadcast, the rest by a join: base score and counts are those of a plain sum."""
+    monkeypatch.setattr(context_mixing, "HEAD", head)
+    rows = [(1, "The the cat sat"), (2, "the dog"), (3, None), (4, ""), (5, "cat Unseen unseen  the\n"), (6, "a b c the the")]
+    got = {r["doc_id"]: r for r in context_mixing.score(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") != 5).collect()}
+    plain = {i: context_mixing.words_of((t or "").translate(context_mixing.LOWER)) for i, t in rows}
+    c = Counter(w for i in plain if i != 5 for w in plain[i])
+    total, distinct = c.total() + 5, len(c) + 1
+    for i, ws in plain.items():
+        counts = [*(c[w] for w in ws), 5]
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(counts), sum(k > 0 for k in counts), total)
+        assert math.isclose(got[i]["base_score"], sum(math.log10((k + 1) / (total + distinct + 1)) for k in counts), rel_tol=1e-12)
+        bits = got[i]["score"] / -math.log10(2) / (len(" ".join(ws).encode()) + 1)
+        assert math.isclose(got[i]["bits_per_byte"], bits, rel_tol=1e-12)
+
+
 def test_mixed_bits_are_a_distribution(texts):
     """The chances of all bytes at one place sum to one: a word's chance is spelled by bits that exclude each other."""
     counts = np.zeros((context_mixing.SLOTS, 2), np.float32)
