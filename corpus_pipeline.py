@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterloom.llm import bpe, decontam, near_dup, quality_rank, secret_scan
-from rasterloom.llm.common import fold, free_name, table
+from rasterloom.llm.common import fold, table
 from rasterloom.session import scratch_path
 
 
@@ -18,11 +18,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps what the ranker, fitted on the labelled texts outside fold 0 of 5, predicts as good."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     ranker = quality_rank.fit(docs.select("doc_id", "text"), labels.filter(fold("doc_id", 5) != 0))
-    # the score is joined by row, not by id, so repeated ids keep their own verdict
-    held = free_name(docs, "row_held")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(held)
-    scored = quality_rank.score(docs.select(row, F.col("text").alias("text")), ranker)
-    return scored.filter("predicted = 1").select(*[F.col(held)[c].alias(c) for c in docs.columns])
+    return quality_rank.keep_good(docs, ranker)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +41,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ``token_ids`` and ``n_tokens``."""
-    coded = bpe.encode_decode(docs)
-    return coded.withColumn("n_tokens", F.size("token_ids").cast("bigint")).drop("decoded")
+    return bpe.encode(docs).withColumn("n_tokens", F.size("token_ids").cast("bigint"))
 
 
 STAGES = [

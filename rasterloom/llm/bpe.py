@@ -154,6 +154,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _encoded(path: str, texts: list[str | None]) -> list:
+    bpe = load(path)
+    return [_lists([np.array(bpe.encode(t or ""), dtype=np.int32) for t in texts])]
+
+
 def _both(path: str, texts: list[str | None]) -> list:
     bpe = load(path)
     ids, decoded = [], []
@@ -170,6 +175,11 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def encode(df: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
+    """Adds ``token_ids`` array<int> alone."""
+    return map_text(df, column, [("token_ids", "array<int>")], partial(_encoded, path or default_path()), 1_000_000)
+
+
 def encode_decode(df: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
     """Adds ``token_ids`` array<int> and ``decoded`` string. No shuffle; one pass over whole texts in bounded chunks."""
     return map_text(df, column, [("token_ids", "array<int>"), ("decoded", "string")], partial(_both, path or default_path()), 1_000_000)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rasterloom.operators.ranking import hash_sample
@@ -83,15 +84,20 @@ def sampled(rows: DataFrame, keys: DataFrame, key: str, stratum: str, most: int,
 
 def chunks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of at most ``most`` characters together, one text at least."""
+    return ranges([len(t or "") for t in texts], most)
+
+
+def ranges(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """``chunks`` of texts of these lengths."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "") + 64
+    for i, n in enumerate(lengths):
+        n += 64
         if i > start and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def map_text(
@@ -99,25 +105,28 @@ def map_text(
 ) -> DataFrame:
     """``df`` with the columns ``fields`` (name, type) that ``make`` gives for each list of texts.
 
-    All other columns pass unchanged; one named like a new column is replaced. Rows keep their partition: no shuffle.
+    All other columns pass unchanged; one named like a new column is replaced. Rows keep their partition: no shuffle. A text column that stays goes
+    to the task once, as the column and as the text to read; a worker holds Python strings of one chunk at a time.
     """
     find_package(df.sparkSession)
     names = {n.lower() for n, _ in fields}
     kept = [c for c in df.columns if c.lower() not in names]
-    src = free_name(df, "_src")
-    base = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").cast("string").alias(src))
+    base = df.select(*[F.col(f"`{c}`") for c in kept])
+    at = kept.index(column) if column in kept and isinstance(base.schema[column].dataType, T.StringType) else len(kept)
+    if at == len(kept):
+        base = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").cast("string").alias(free_name(df, "_src")))
     added = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
-    schema = T.StructType([*base.schema.fields[:-1], *added.fields])
+    schema = T.StructType([*base.schema.fields[: len(kept)], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(added)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in chunks(texts, most):
-                new = [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(make(texts[a:b]), out, strict=True)]
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*kept, *out.names])
+            texts = batch.column(at)
+            for a, b in ranges(pc.utf8_length(texts).fill_null(0).to_pylist(), most):
+                own = make(texts.slice(a, b - a).to_pylist())
+                new = [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(own, out, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(kept)], *new], names=[*kept, *out.names])
 
     return base.mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterloom.llm.common import bounded_sample, map_text, sampled
+from rasterloom.llm.common import bounded_sample, free_name, map_text, sampled
 
 MAX_TRAIN = 40_000
 PAIRS = 8
@@ -78,6 +78,10 @@ def _score(ranker: Ranker, texts: list[str | None]) -> list:
     return [score, (score >= CUT).astype(np.int32)]
 
 
+def _good(ranker: Ranker, texts: list[str | None]) -> list:
+    return [_score(ranker, texts)[1] == 1]
+
+
 def fit(
     docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", column: str = "text", label: str = "quality", max_train: int = MAX_TRAIN
 ) -> Ranker:
@@ -130,3 +134,9 @@ def _threshold(s: np.ndarray, y: np.ndarray) -> float:
 def score(df: DataFrame, ranker: Ranker, column: str = "text") -> DataFrame:
     """Adds ``score`` (0..1, higher is better) and ``predicted`` (1 from ``CUT``). No shuffle."""
     return map_text(df, column, [("score", "double"), ("predicted", "int")], partial(_score, ranker))
+
+
+def keep_good(docs: DataFrame, ranker: Ranker, column: str = "text") -> DataFrame:
+    """``docs`` without the rows predicted as bad. Each row is judged by its own text, where it lies: no shuffle."""
+    flag = free_name(docs, "is_good")
+    return map_text(docs, column, [(flag, "boolean")], partial(_good, ranker)).filter(F.col(flag)).drop(flag)
