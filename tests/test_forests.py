@@ -124,7 +124,7 @@ def test_weights_are_those_of_the_hash():
 
 
 @pytest.mark.parametrize("sizes", SIZES)
-@pytest.mark.parametrize("classes", [[0, 1, 2]])
+@pytest.mark.parametrize("classes", [[0, 1, 2], None])
 def test_forest_equals_recursive_trees(spark, monkeypatch, classes, sizes):
     _sizes(monkeypatch, sizes)
     data = _table(regress=classes is None)
@@ -152,7 +152,7 @@ def test_trees_that_saw_a_row_without_a_predictor_are_left_out(spark):
     assert fo.fit(none, "k", FEATURES, "label", [0, 1, 2], TREES).count() == 0 == fo.apply(nodes, none, "k", FEATURES, [0, 1, 2], TREES).count()
 
 
-@pytest.mark.parametrize("classes", [[0, 1, 2]])
+@pytest.mark.parametrize("classes", [[0, 1, 2], None])
 def test_bags_hold_equal_predictors_once(spark, monkeypatch, classes):
     """A row for a tree and block, not for a tree and sample, goes to growing; a crowd of equal rows is dealt to several blocks."""
     seen = _written(monkeypatch)
@@ -165,3 +165,12 @@ def test_bags_hold_equal_predictors_once(spark, monkeypatch, classes):
     crowd = _frame(spark, [(i, 1, 0, 0, 0) for i in range(200)])
     sizes = [len(r["keys"]) for r in fo.pack(crowd, "k", FEATURES, 1, "label").collect()]
     assert sum(sizes) == 200 and max(sizes) < 60
+
+
+def test_regression_nodes_go_out_without_lists(spark):
+    """A column of NULL lists takes square time on its way to Python; leaves of a regressor need none."""
+    df = _frame(spark, _table(regress=True))
+    nodes = fo.fit(df, "k", FEATURES, "label", None, TREES)
+    plan = fo.apply(nodes, df, "k", FEATURES, None, TREES)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("FlatMapCoGroups" in step for step in plan)
+    assert not [step for step in plan if "shares" in step and "Relation" not in step]
