@@ -152,6 +152,21 @@ def test_trees_that_saw_a_row_without_a_predictor_are_left_out(spark):
     assert fo.fit(none, "k", FEATURES, "label", [0, 1, 2], TREES).count() == 0 == fo.apply(nodes, none, "k", FEATURES, [0, 1, 2], TREES).count()
 
 
+@pytest.mark.parametrize("sizes", SIZES)
+def test_zero_inflated_bags_are_products_tree_by_tree(spark, monkeypatch, sizes):
+    _sizes(monkeypatch, sizes)
+    data = [(k, None if y is None else max(0, y - 12), *x) for k, y, *x in _table(regress=True)]
+    df = _frame(spark, data)
+    seen = _written(monkeypatch)
+    models = fo.fit_zero_inflated(df, "k", FEATURES, "label", TREES)
+    assert sizes != SIZES[0] or [n for name, n in seen if name == "bag"] == [TREES, TREES]
+    some, value = _forest([(k, None if y is None else int(y != 0), *x) for k, y, *x in data], [0, 1]), _forest(data, None)
+    some_of = lambda p: float(p[1] > p[0])
+    for out_of_bag in (False, True):
+        want = _asked(lambda t, x: [some_of(_leaf(some[t], x)) * _leaf(value[t], x)[0]], data, out_of_bag)
+        _check(fo.apply_zero_inflated(models, df, "k", FEATURES, TREES, out_of_bag=out_of_bag), want, lambda p: p[0])
+
+
 @pytest.mark.parametrize("classes", [[0, 1, 2], None])
 def test_bags_hold_equal_predictors_once(spark, monkeypatch, classes):
     """A row for a tree and block, not for a tree and sample, goes to growing; a crowd of equal rows is dealt to several blocks."""
