@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 
 import pytest
 
@@ -152,6 +153,22 @@ def test_trees_that_saw_a_row_without_a_predictor_are_left_out(spark):
     assert fo.fit(none, "k", FEATURES, "label", [0, 1, 2], TREES).count() == 0 == fo.apply(nodes, none, "k", FEATURES, [0, 1, 2], TREES).count()
 
 
+def test_rows_held_out_are_asked_of_all_trees(spark, monkeypatch):
+    """Trees with numbers of one and two digits, on rows that none of them saw; growing writes a row for a tree, not for each of its samples."""
+    monkeypatch.setattr(sys.modules[__name__], "TREES", 12)
+    seen = _written(monkeypatch)
+    train, test = ([d for i, d in enumerate(_table()) if (i % 5 > 0) == side] for side in (True, False))
+    nodes = fo.fit(_frame(spark, train), "k", FEATURES, "label", [0, 1, 2], 12, max_features=3)
+    assert [n for name, n in seen if name == "bag"] == [12]
+    forest = _forest(train, [0, 1, 2])
+    got = _check(
+        fo.apply(nodes, _frame(spark, test), "k", FEATURES, [0, 1, 2], 12),
+        _asked(lambda t, x: _leaf(forest[t], x), test, False),
+        lambda p: float(max(range(3), key=lambda i: (round(p[i], 12), -i))),
+    )
+    assert {n for k, _, n in got if k is not None and sum(d[0] == k for d in test) == 1} == {12}
+
+
 @pytest.mark.parametrize("sizes", SIZES)
 def test_zero_inflated_bags_are_products_tree_by_tree(spark, monkeypatch, sizes):
     _sizes(monkeypatch, sizes)
