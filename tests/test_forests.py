@@ -1,6 +1,7 @@
 """Forests against plain recursive ones on small tables with repeated and missing keys, labels and predictors."""
 
 import hashlib
+import math
 import random
 import sys
 
@@ -206,3 +207,27 @@ def test_regression_nodes_go_out_without_lists(spark):
     plan = fo.apply(nodes, df, "k", FEATURES, None, TREES)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert any("FlatMapCoGroups" in step for step in plan)
     assert not [step for step in plan if "shares" in step and "Relation" not in step]
+
+
+def test_grid_shares_the_bags_of_a_fold(spark, monkeypatch):
+    data = [(*d, i % 3) for i, d in enumerate(_table())]
+    df = spark.createDataFrame(data, "k long, label int, f0 int, f1 int, f2 int, fold int")
+    seen = _written(monkeypatch)
+    got = fo.grid_search(df, "k", FEATURES, "label", [0, 1, 2], "fold", [1, 3], [1, 4], trees=TREES).collect()
+    assert [name for name, _ in seen].count("bag") == 3
+    want = []
+    for most in (1, 3):
+        for leaf in (1, 4):
+            scores = []
+            for fold in range(3):
+                train, test = ([d[:5] for d in data if (d[5] != fold) == side] for side in (True, False))
+                forest = _forest(train, [0, 1, 2], leaf, f"grid{fold}", most)
+                asked = _asked(lambda t, x: _leaf(forest[t], x), test, False)
+                hits = [y == max(range(3), key=lambda i: (round(asked[k][0][i], 12), -i)) for k, y, *_ in test if k in asked and y is not None]
+                scores.append(sum(hits) / len(hits))
+            mean = sum(scores) / 3
+            want.append((most, leaf, mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / 3)))
+    order = sorted(range(4), key=lambda i: (-want[i][2], i))
+    assert [r["rank"] for r in got] == [1, 2, 3, 4]
+    for r, i in zip(got, order):
+        assert tuple(r)[:2] == want[i][:2] and tuple(r)[2:4] == pytest.approx(want[i][2:])
